@@ -1,0 +1 @@
+"""Operators of the spatial feature graph engine."""

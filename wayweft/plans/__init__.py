@@ -1,0 +1 @@
+"""Plans of the spatial feature graph engine."""

@@ -1,0 +1 @@
+"""Sources of the spatial feature graph engine."""

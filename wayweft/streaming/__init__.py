@@ -1,0 +1 @@
+"""Streaming of the spatial feature graph engine."""
