@@ -30,7 +30,7 @@ def test_forward_sums_all_segmentations():
     vocab = {p: i for i, p in enumerate(["▁", "▁t", "t", "h", "e", "th", "he", "▁th", "▁the", "ß"])}
     p = np.random.default_rng(0).random((len(vocab) + 1, 2))
     words = ["the", "thé", "h", "tthhe", "xß"]
-    lattice = L.Lattice(words, vocab)
+    lattice = L.Lattice(words, L.PieceTrie(vocab))
     got = lattice.totals(lattice.forward(p))
     for i, w in enumerate(words):
         for k in range(2):
@@ -40,7 +40,7 @@ def test_forward_sums_all_segmentations():
 def test_expected_counts_are_gradients():
     vocab = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁a"])}
     p = np.random.default_rng(1).random((6, 1))
-    lattice, counts = L.Lattice(["ab", "aba"], vocab), np.array([[2.0], [3.0]])
+    lattice, counts = L.Lattice(["ab", "aba"], L.PieceTrie(vocab)), np.array([[2.0], [3.0]])
     value = lambda q: float((counts * np.log(lattice.totals(lattice.forward(q)))).sum())
     expected = lattice.expected(p, counts)
     for i in range(6):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import frames
+from .pair_table import NONE, PairTable
 
 WORD_LETTERS = 40
 UNKNOWN = 1e-9
@@ -55,30 +56,49 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(p for p in pieces if p and _LETTERS.fullmatch(p.removeprefix("▁") or "a")))}
 
 
+class PieceTrie:
+    """The vocabulary as a trie whose steps are looked up for many words at once."""
+
+    def __init__(self, vocab: dict[str, int]):
+        nodes: dict[str, int] = {"": 0}
+        left, right, value = [], [], []
+        for piece in vocab:
+            for i in range(1, len(piece) + 1):
+                if piece[:i] not in nodes:
+                    nodes[piece[:i]] = len(nodes)
+                    left.append(nodes[piece[: i - 1]])
+                    right.append(ord(piece[i - 1]))
+                    value.append(nodes[piece[:i]])
+        self.steps = PairTable(left, right, value)
+        self.piece = np.full(len(nodes), -1, dtype=np.int64)
+        self.piece[[nodes[p] for p in vocab]] = list(vocab.values())
+        self.size = len(vocab)
+
+
 class Lattice:
-    """All segmentations of a list of words: for each end and length, which words have which piece there."""
+    """All segmentations of a list of words: for each end and start, which words have which piece there."""
 
-    def __init__(self, words: list[str], vocab: dict[str, int]):
+    def __init__(self, words: list[str], trie: PieceTrie):
         self.n, self.width = len(words), max(map(len, words), default=0) + 1
         self.ends = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        longest = max(map(len, vocab), default=1)
-        found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-        unknown = len(vocab)
-        get = vocab.get
-        for row, word in enumerate(words):
-            word = "▁" + word
-            for end in range(1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = get(word[start:end])
-                    if piece is None:
-                        if end - start > 1:
-                            continue
-                        piece = unknown
-                    rows, pieces = found.setdefault((end, start), ([], []))
-                    rows.append(row)
-                    pieces.append(piece)
-        # ▁ alone is position 0 to 1, so positions run to the letters plus one
-        self.arcs = [(end, start, np.array(r), np.array(p)) for (end, start), (r, p) in sorted(found.items())]
+        # position 0 is the mark of a word's start
+        letters = np.array(["▁" + w for w in words], dtype=f"U{self.width}").view(np.uint32).reshape(self.n, -1).astype(np.int64) if words else np.zeros((0, 1), np.int64)
+        self.arcs = []
+        for start in range(letters.shape[1]):
+            rows = np.flatnonzero(self.ends > start)
+            nodes, end = np.zeros(len(rows), dtype=np.int64), start
+            while len(rows) and end < letters.shape[1]:
+                found = trie.steps.find(nodes, letters[rows, end])
+                end += 1
+                pieces = np.where(found == NONE, -1, trie.piece[np.where(found == NONE, 0, found)])
+                if end == start + 1:
+                    pieces[pieces < 0] = trie.size  # a character outside the vocabulary
+                hit = pieces >= 0
+                if hit.any():
+                    self.arcs.append((end, start, rows[hit], pieces[hit]))
+                on = (found != NONE) & (self.ends[rows] > end)
+                rows, nodes = rows[on], found[on].astype(np.int64)
+        self.arcs.sort(key=lambda x: x[:2])
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """alpha[word, position, language]."""
@@ -109,7 +129,7 @@ class Lattice:
 @dataclass
 class Model:
     languages: list[str]
-    vocab: dict[str, int]
+    trie: PieceTrie
     probability: np.ndarray  # [piece, language]; the last row is a character outside the vocabulary
     prior: np.ndarray  # log
 
@@ -122,7 +142,7 @@ class Model:
         for rows in by_length.values():
             for at in range(0, len(rows), 20_000):
                 part = rows[at : at + 20_000]
-                lattice = Lattice([words[i] for i in part], self.vocab)
+                lattice = Lattice([words[i] for i in part], self.trie)
                 out[part] = np.log(np.maximum(lattice.totals(lattice.forward(self.probability)), 1e-300))
         return out
 
@@ -136,14 +156,15 @@ def fit(counts: dict[str, Counter], documents: dict[str, int], vocab: dict[str,
     for i, w in enumerate(words):
         groups.setdefault((len(w) + 3) // 4, []).append(i)
     parts = [rows[at : at + 20_000] for rows in groups.values() for at in range(0, len(rows), 20_000)]
-    lattices = [(Lattice([words[i] for i in rows], vocab), table[rows]) for rows in parts]
+    trie = PieceTrie(vocab)
+    lattices = [(Lattice([words[i] for i in rows], trie), table[rows]) for rows in parts]
     probability = np.full((len(vocab) + 1, len(languages)), 1 / (len(vocab) + 1))
     probability[-1] = UNKNOWN
     for _ in range(rounds):
         expected = sum((x.expected(probability, c) for x, c in lattices), np.zeros_like(probability))[:-1] + 0.01
         probability = np.vstack([expected / expected.sum(axis=0), np.full((1, len(languages)), UNKNOWN)])
     total = sum(documents.values())
-    return Model(languages, vocab, probability, np.log([documents[k] / total for k in languages]))
+    return Model(languages, trie, probability, np.log([documents[k] / total for k in languages]))
 
 
 def train(labelled: DataFrame, vocab_path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model | None:
