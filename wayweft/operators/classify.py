@@ -138,10 +138,15 @@ def area_of(tag: Tag) -> Column:
     return F.when(blank_to_null(tag("name")).isNull(), F.lit(None).cast("string")).when(tag("natural").isin("water", "bay"), "water").when(park, "park")
 
 
+def settled(rows, value: Column, name: str):
+    """rows with a column that is computed once: the optimizer does not copy it into every expression that reads it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def classified(rows, tag: Tag):
     """rows with name, category, importance, tier and salience; what is no feature goes."""
     chain = tag("brand").isNotNull() | tag("brand:wikidata").isNotNull()
-    out = rows.withColumn("name", name_from(tag))
-    out = out.withColumn("category", category_of(tag, F.col("name").isNotNull())).where("category is not null")
-    out = out.withColumn("importance", importance_of("category", F.col("name").isNotNull(), chain))
+    out = settled(rows, name_from(tag), "name")
+    out = settled(out, category_of(tag, F.col("name").isNotNull()), "category").where("category is not null")
+    out = settled(out, importance_of("category", F.col("name").isNotNull(), chain), "importance")
     return out.withColumn("tier", tier_of("importance")).withColumn("salience", salience_of("category"))
