@@ -17,8 +17,11 @@ def test_ids_match_the_library():
     t, w = Tokenizer.from_file(PATH), WordTokens(PATH)
     r = random.Random(0)
     alphabet = list("abcdE'stré \n\t  ,.!12́İΣ\x1d") + ["'ll", "😀", "the "]
-    for text in TEXTS + ["".join(r.choices(alphabet, k=r.randrange(80))) for _ in range(2000)]:
-        assert np.frombuffer(w.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = TEXTS + ["".join(r.choices(alphabet, k=r.randrange(80))) for _ in range(2000)]
+    for limit in (10, 10_000):
+        w.cache.limit = limit
+        for text, got in zip(texts, w.encode_texts(texts)):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize("seed", range(5))

@@ -14,6 +14,7 @@ ordinary rows; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 
@@ -54,7 +55,7 @@ class ByteBpe:
         self.table = pair_table(self.ranks)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.cache = ChunkCache(lambda chunk: self._encode_chunks([chunk])[0])
+        self.cache = ChunkCache(self._encode_chunks)
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""
@@ -131,23 +132,18 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [_CHUNK.findall(t) for t in texts]
-        fresh = {c for chunks in split for c in chunks if c not in self.cache}
-        if len(self.cache) + len(fresh) > self.cache.limit:
-            self.cache.clear()
-            fresh = {c for chunks in split for c in chunks}
-        fresh = list(fresh)
-        known = dict(zip(fresh, self._encode_chunks(fresh)))
-        long = {c: v for c, v in known.items() if len(c) > 200}  # these are not remembered
-        self.cache.update((c, v) for c, v in known.items() if len(c) <= 200)
-        if not long:
-            return [self.cache.joined(chunks) for chunks in split]
-        return [b"".join([long[c] if c in long else self.cache[c] for c in chunks]) for chunks in split]
+        return self.cache.encode([_CHUNK.findall(t) for t in texts])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.lru_cache(maxsize=2)
+def shared(path: str, pattern: str) -> ByteBpe:
+    """The worker process's own, kept from task to task."""
+    return ByteBpe(path, pattern)
+
+
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -155,7 +151,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The number and digest of each document's ids, and the digest of what they decode to."""
 
     def run(batches):
-        bpe = ByteBpe(path, pattern)
+        bpe = shared(path, pattern)
         for batch in batches:
             ids = [x for at in range(0, batch.num_rows, 200) for x in bpe.encode_batch([t or "" for t in batch.column(1).slice(at, 200).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +167,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of each document."""
 
     def run(batches):
-        bpe = ByteBpe(path, pattern)
+        bpe = shared(path, pattern)
         for batch in batches:
             ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -184,7 +180,7 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text of encoded()'s rows; bytes that are not UTF-8 become U+FFFD; null ids give a null text."""
 
     def run(batches):
-        bpe = ByteBpe(path, pattern)
+        bpe = shared(path, pattern)
         for batch in batches:
             texts = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

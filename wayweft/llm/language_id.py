@@ -34,8 +34,8 @@ WORD_LETTERS = 40
 UNKNOWN = 1e-9
 #: Labelled rows of each language in the training sample, and rounds of expectation-maximisation.
 SAMPLE, ROUNDS = 400, 3
-#: Words a task remembers before it starts afresh.
-CACHE_WORDS = 300_000
+#: Words a worker remembers before it starts afresh.
+CACHE_WORDS = 800_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -197,18 +197,19 @@ _OUT = "doc_id long, lang_pred string, score double, n_words long"
 def _predictor(shared):
     def run(batches):
         model: Model | None = shared.value
-        rows: dict[str, int] = {}
-        table = np.zeros((0, len(model.languages) if model else 0))
+        # a worker process keeps the words it has scored from task to task, beside its copy of the model
+        rows, table = getattr(model, "scored", ({}, np.zeros((0, len(model.languages) if model else 0))))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             found = [words_of(t) if t and model else [] for t in texts]
             found = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in found]  # ² and the like are no letters
             if len(rows) > CACHE_WORDS:
                 rows, table = {}, table[:0]
-            fresh = list({w for ws in found for w in ws if w not in rows})
+            fresh = [w for w in set().union(*found) if w not in rows]
             if fresh:
                 rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
                 table = np.vstack([table, model.log_words(fresh)])
+                model.scored = rows, table
             names, scores = [], []
             for ws in found:
                 if not ws:

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import frames, scratch
-from .word_tokens import WordTokens
+from . import frames, scratch, word_tokens
 
 CAPACITY, CLOSING_ID = 4096, 1
 #: Pieces of a problem, islands, epochs between migrations, generations in an epoch, solutions on an island.
@@ -107,11 +106,13 @@ def _encode(path: str, capacity: int):
     closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        tokens = WordTokens(path)
+        tokens = word_tokens.shared(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokens.encode(text or "") + closing
+            rows, found = [], []
+            for at in range(0, batch.num_rows, 100):
+                found += tokens.encode_texts([t or "" for t in batch.column(1).slice(at, 100).to_pylist()])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found):
+                ids += closing
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -1,31 +1,53 @@
 """Token ids of whole texts by a word-BPE vocabulary file of the tokenizers library.
 
 The vocabulary drops white space and never lets a token span it, so a text's ids are those of its
-white-space separated chunks, each encoded once and remembered. Texts with the control characters that
-Python, but not the tokenizer, takes for white space are encoded in one piece.
+white-space separated chunks. Chunks not yet known are encoded together, with a special token of the
+vocabulary between them, and remembered. Texts with the control characters that Python, but not the
+tokenizer, takes for white space, or with a special token's own text, are encoded in one piece.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 
 from .chunk_cache import ChunkCache
 
-_ODD = re.compile("[\x1c-\x1f]")
-
 
 class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = ChunkCache(self.direct)
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return self.direct(text) if _ODD.search(text) else self.cache.joined(text.split())
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_text = max(special.items())
+        self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special.values())]))
+        self.cache = ChunkCache(self._encode_all)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _encode_all(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(chunks), 5000):
+            part = chunks[at : at + 5000]
+            ids = self._ids(self.mark_text.join(part))
+            cuts = np.flatnonzero(ids == self.mark)
+            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+        return out
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        whole = {i for i, t in enumerate(texts) if self.odd.search(t)}
+        split = iter(self.cache.encode([t.split() for i, t in enumerate(texts) if i not in whole]))
+        return [self._ids(t).tobytes() if i in whole else next(split) for i, t in enumerate(texts)]
+
+
+@functools.lru_cache(maxsize=2)
+def shared(path: str) -> WordTokens:
+    """The worker process's own, kept from task to task."""
+    return WordTokens(path)
