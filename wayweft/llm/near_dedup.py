@@ -6,10 +6,11 @@ is read at D positions shifted by 0, 1, 2, ... for the coordinates, so a shingle
 slice of it. Coordinates are cut into bands; documents that share a band are candidates, and every link is
 confirmed on the full sets.
 
-Documents with the same set are one vertex. In a band's bucket the smallest vertex is first compared with all
-others; then, in rounds, members outside the bucket's largest component so far are compared with all members of
-other components, four times as many per bucket in each round, until only one component has members that were
-not. Each pair of a bucket is so either compared or already connected, without emitting pairs inside components.
+Documents with the same set are one vertex. In a band's bucket a hub (the vertex that shares most buckets with most
+others) is first compared with all others; then what is outside the bucket's largest component is compared with a few
+of its members, twice. What is still outside is compared with all members of that component, and with each other. So
+each pair of a bucket is compared or already connected, without emitting pairs inside components; the last step sends
+sets to blocks of members and looks for one link in each, so its rows grow with the outsiders, not with the pairs.
 
 Results: one row per document. A null or blank text has an empty set and is linked with nothing. Each row is
 judged by its own text; rows of one id that is the smallest of its copies share a vertex. Rows with a null id
@@ -29,11 +30,13 @@ from . import frames, scratch, wordhash
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Bands and coordinates in each: at a similarity of 0.8 all bands miss with a chance of about 5e-8.
-BANDS, ROWS = 32, 4
+#: Bands and coordinates in each: at a similarity of 0.8 all bands miss with a chance of about 3e-6.
+BANDS, ROWS = 42, 6
 SLOT_BITS = 20
-#: Members of a bucket that each round compares with the others, after the first.
-FIRST_ROUND, GROWTH = 4, 4
+#: Rounds with some members of a bucket's largest component, and about how many these are.
+ROUNDS, SPOKESMEN = 2, 6
+#: Members outside it that are compared pair by pair; more are compared in blocks of about so many rows.
+FEW, BLOCK = 12, 1000
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -100,52 +103,104 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataF
     return scratch.materialise(both.where(100 * F.col("_i") >= percent * (F.size("_a") + F.size("_b") - F.col("_i"))).select("a", "b"), name)
 
 
+def _spread(*columns):
+    """An even number from 0 to 1 of the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / (1 << 30)
+
+
+def _block_links(percent: int):
+    """One link, if there is any, from each query to the block's members of another label; compared on full sets."""
+
+    def run(key, members, queries):
+        out = ([], [])
+        if members.num_rows and queries.num_rows:
+            column = members.column("items").combine_chunks()
+            sizes = np.diff(column.offsets.to_numpy())
+            items, starts = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            names, labels = members.column("v").to_numpy(), members.column("label").to_numpy()
+            for v, label, own in zip(queries.column("q_v").to_pylist(), queries.column("q_label").to_pylist(), queries.column("q_items").combine_chunks()):
+                own = own.values.to_numpy()
+                at = np.searchsorted(own, items)
+                at[at == len(own)] = 0
+                both = np.add.reduceat((own[at] == items).astype(np.int64), starts)
+                hit = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (labels != label) & (names != v))
+                if len(hit):
+                    out[0].append(min(v, int(names[hit[0]])))
+                    out[1].append(max(v, int(names[hit[0]])))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def _in_blocks(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """members and queries (home, v, label, items): the links between those of a home. A home's members are dealt to
+    blocks of about BLOCK rows, and its queries go to each of them."""
+    blocks = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "home").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    asked = queries.select(*[F.col(x).alias(f"q_{x}") for x in ("home", "v", "label", "items")])
+    sent = asked.join(blocks.select(F.col("home").alias("q_home"), "blocks"), "q_home").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = dealt.select("home", "block", "v", "label", "items").groupBy("home", "block")
+    two = sent.select("q_home", "q_block", "q_v", "q_label", "q_items").groupBy("q_home", "q_block")
+    return one.cogroup(two).applyInArrow(_block_links(percent), "a long, b long")
+
+
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, name: str = "near") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     spark = docs.sparkSession
     frames.small_batches(spark)
     docs = frames.documents(docs)
     base = scratch.materialise(docs.mapInArrow(_signatures(k, bands, rows), "doc_id long, n long, digest binary, bands array<long>"), f"{name}-signatures")
-    classes = scratch.materialise(base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("v")), f"{name}-classes")
-    vertices = base.where("n > 0").join(classes, "digest").where("doc_id = v")
-    slots = vertices.select("v", "n", F.explode("bands").alias("bucket")).distinct()
-    shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("v").alias("first")).where("members > 1")
-    buckets = scratch.materialise(slots.join(shared.select("bucket", "first"), "bucket"), f"{name}-buckets")
-
-    # the first round: every bucket's smallest vertex and the others
-    a, b = F.least("first", "v").alias("a"), F.greatest("first", "v").alias("b")
-    sizes = buckets.select(F.col("v").alias("first"), F.col("n").alias("first_n")).distinct()
+    # a vertex is a distinct set; copies leave their task once
+    classes = scratch.materialise(base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands")), f"{name}-classes")
+    slots = classes.select("v", "n", F.explode("bands").alias("bucket"))
+    shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = scratch.materialise(slots.join(shared, "bucket"), f"{name}-buckets")
+    sizes = buckets.groupBy("v").agg(F.min("n").alias("n"), F.sum("members").alias("score"))
+    sets = scratch.materialise(docs.join(sizes.select(F.col("v").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(k), "v long, items array<long>").dropDuplicates(["v"]), f"{name}-sets")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = buckets.where("v <> first").select("v", "n", "first").distinct().join(sizes, "first").where(fits("n", "first_n")).select(a, b).distinct()
-    wanted = buckets.select(F.col("v").alias("doc_id")).distinct()
-    sets = scratch.materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "v long, items array<long>").dropDuplicates(["v"]), f"{name}-sets")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    # 1. every bucket's hub, which shares most buckets with most others, and its other members
+    scored = buckets.select("bucket", "v", "n").join(sizes.select("v", "score"), "v")
+    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("v")).alias("minus"), "n")).alias("hub")).select("bucket", (-F.col("hub.minus")).alias("p"), F.col("hub.n").alias("p_n"))
+    star = buckets.join(hubs, "bucket").where((F.col("v") != F.col("p")) & fits("n", "p_n")).select(*pair("v", "p")).distinct()
     links = _linked(star, sets, percent, f"{name}-links")
     labels = components(links, f"{name}-0")
-    used = buckets.where("v = first").select("bucket", "v")
 
-    quota, turn = FIRST_ROUND, 0
-    while True:
-        turn += 1
-        # members with their components; the largest component of each bucket waits
+    def state(labels: DataFrame, turn: int) -> DataFrame:
+        """The members of the buckets with several components, each with its own and the bucket's largest one."""
         own = buckets.select("bucket", "v", "n").join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
         groups = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
-        states = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top")).where("groups > 1")
-        open_ = scratch.materialise(own.join(states.select("bucket", (F.col("all") - F.col("top.m")).alias("rest"), F.col("top.label").alias("top")), "bucket"), f"{name}-open")
-        spread = F.pmod(F.xxhash64("bucket", "v", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)
-        waiting = open_.where("label <> top").join(used, ["bucket", "v"], "left_anti")
-        if waiting.isEmpty():
-            break
-        pivots = scratch.materialise(waiting.where(spread * F.col("rest") < quota).select("bucket", F.col("v").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label")), f"{name}-pivots")
-        pairs = pivots.join(open_, "bucket").where((F.col("p_label") != F.col("label")) & fits("n", "p_n")).select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct()
-        found = _linked(pairs, sets, percent, f"{name}-links")
-        used = used.union(pivots.select("bucket", F.col("p").alias("v")))
-        quota *= GROWTH
+        open_ = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top")).where("groups > 1")
+        return scratch.materialise(own.join(open_.select("bucket", F.col("top.label").alias("top"), F.col("top.m").alias("top_m"), (F.col("all") - F.col("top.m")).alias("rest")), "bucket"), f"{name}-open-{turn}")
+
+    # 2. what is outside a bucket's largest component, and a few of its members
+    for turn in range(1, ROUNDS + 1):
+        now = state(labels, turn)
+        chosen = now.where((F.col("label") == F.col("top")) & (_spread("bucket", "v", F.lit(turn)) * F.col("top_m") < SPOKESMEN)).select("bucket", F.col("v").alias("p"), F.col("n").alias("p_n"))
+        found = _linked(now.where("label <> top").join(chosen, "bucket").where(fits("n", "p_n")).select(*pair("v", "p")).distinct(), sets, percent, f"{name}-links")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links, f"{name}-{turn}")
 
+    # 3. what is still outside: with all of the largest component, and with each other
+    now = state(labels, ROUNDS + 1)
+    outside = now.where("label <> top")
+    full = lambda x: x.join(sets, "v")
+    wanted = outside.select(F.col("top").alias("home"), "v", "label").distinct()
+    homes = wanted.select("home").distinct()
+    owners = sets.select("v").join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("home", F.coalesce("label", "v")).join(homes, "home", "left_semi").select("home", "v", F.col("home").alias("label"))
+    to_top = _in_blocks(full(owners), full(wanted), percent)
+    few = outside.where(F.col("rest") <= FEW).select("bucket", "v", "n", "label")
+    other = few.select("bucket", F.col("v").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
+    among_few = few.join(other, "bucket").where((F.col("v") < F.col("p")) & (F.col("label") != F.col("p_label")) & fits("n", "p_n")).select(*pair("v", "p")).distinct()
+    many = full(outside.where(F.col("rest") > FEW).select(F.col("bucket").alias("home"), "v", "label"))
+    last = scratch.materialise(to_top.union(_in_blocks(many, many, percent)), f"{name}-links").union(_linked(among_few, sets, percent, f"{name}-links"))
+    if not last.isEmpty():
+        labels = components(links.union(last), f"{name}-last")
+
     named = labels.select(F.col("node").alias("v"), "label")
-    verdict = classes.join(named, "v", "left").select("digest", F.coalesce("label", "v").alias("label"))
+    verdict = classes.select("digest", "v").join(named, "v", "left").select("digest", F.coalesce("label", "v").alias("label"))
     return base.select("doc_id", "n", "digest").join(verdict, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), (F.coalesce("label", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
