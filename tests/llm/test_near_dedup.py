@@ -58,6 +58,24 @@ def test_against_brute_force(spark, k):
         assert sorted(x.doc_id for x in N.keep_one(df).collect()) == [x[0] for x in got if x[3]]
 
 
+@pytest.mark.parametrize("few", [0, 3])
+def test_large_groups_in_blocks(spark, monkeypatch, few):
+    """One base with many edits: pairs of copies are often linked through others alone, and buckets are large."""
+    monkeypatch.setattr(N, "FEW", few)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "SPOKESMEN", 1)
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(r.randrange(0, 7)):
+            words[r.randrange(80)] = f"e{r.randrange(400)}"
+        rows.append((1000 - i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in N.near_groups(df, k=4).collect()) == brute(rows, 4)
+
+
 def test_empty(spark):
     assert N.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

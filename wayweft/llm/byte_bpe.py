@@ -27,7 +27,7 @@ from .chunk_cache import ChunkCache
 from .pair_table import NONE, PairTable
 
 #: White space of the pattern's \\s (Python's own has four control characters more).
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where the pattern always breaks: a match never goes beyond one of these chunks.
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Cells of a matrix at most, unless one row alone is longer.

@@ -10,7 +10,8 @@ Documents with the same set are one vertex. In a band's bucket a hub (the vertex
 others) is first compared with all others; then what is outside the bucket's largest component is compared with a few
 of its members, twice. What is still outside is compared with all members of that component, and with each other. So
 each pair of a bucket is compared or already connected, without emitting pairs inside components; the last step sends
-sets to blocks of members and looks for one link in each, so its rows grow with the outsiders, not with the pairs.
+sets to blocks of members and looks for one link to each component there, so its rows grow with the outsiders, not
+with the pairs.
 
 Results: one row per document. A null or blank text has an empty set and is linked with nothing. Each row is
 judged by its own text; rows of one id that is the smallest of its copies share a vertex. Rows with a null id
@@ -109,7 +110,7 @@ def _spread(*columns):
 
 
 def _block_links(percent: int):
-    """One link, if there is any, from each query to the block's members of another label; compared on full sets."""
+    """A link, if there is any, from each query to the block's members of each other label; compared on full sets."""
 
     def run(key, members, queries):
         out = ([], [])
@@ -124,9 +125,9 @@ def _block_links(percent: int):
                 at[at == len(own)] = 0
                 both = np.add.reduceat((own[at] == items).astype(np.int64), starts)
                 hit = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (labels != label) & (names != v))
-                if len(hit):
-                    out[0].append(min(v, int(names[hit[0]])))
-                    out[1].append(max(v, int(names[hit[0]])))
+                for other in names[hit[np.unique(labels[hit], return_index=True)[1]]].tolist():
+                    out[0].append(min(v, other))
+                    out[1].append(max(v, other))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
@@ -174,10 +175,11 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands
         open_ = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top")).where("groups > 1")
         return scratch.materialise(own.join(open_.select("bucket", F.col("top.label").alias("top"), F.col("top.m").alias("top_m"), (F.col("all") - F.col("top.m")).alias("rest")), "bucket"), f"{name}-open-{turn}")
 
-    # 2. what is outside a bucket's largest component, and a few of its members
+    # 2. what is outside a bucket's largest component, and a few of its members: the same ones in all its buckets, so
+    # that a pair is seldom met twice
     for turn in range(1, ROUNDS + 1):
         now = state(labels, turn)
-        chosen = now.where((F.col("label") == F.col("top")) & (_spread("bucket", "v", F.lit(turn)) * F.col("top_m") < SPOKESMEN)).select("bucket", F.col("v").alias("p"), F.col("n").alias("p_n"))
+        chosen = now.where((F.col("label") == F.col("top")) & (_spread("v", F.lit(turn)) * F.col("top_m") < SPOKESMEN)).select("bucket", F.col("v").alias("p"), F.col("n").alias("p_n"))
         found = _linked(now.where("label <> top").join(chosen, "bucket").where(fits("n", "p_n")).select(*pair("v", "p")).distinct(), sets, percent, f"{name}-links")
         if not found.isEmpty():
             links = links.union(found)

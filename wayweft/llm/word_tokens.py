@@ -24,6 +24,9 @@ class WordTokens:
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_text = max(special.items())
         self.odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special.values())]))
+        # fewer distinct chunks: lower case where it is the tokenizer's own for sure, and commas and full stops apart
+        # from the words before them where none follows another sign
+        self.wide, self.signs = re.compile("[^\x00-\xff]"), re.compile(r"[^\w\s][.,]|_[.,]")
         self.cache = ChunkCache(self._encode_all)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -40,10 +43,18 @@ class WordTokens:
             out += [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
         return out
 
+    def _chunks(self, text: str) -> list[str]:
+        if self.wide.search(text):
+            return text.split()
+        text = text.lower()
+        if not self.signs.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return text.split()
+
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         whole = {i for i, t in enumerate(texts) if self.odd.search(t)}
-        split = iter(self.cache.encode([t.split() for i, t in enumerate(texts) if i not in whole]))
+        split = iter(self.cache.encode([self._chunks(t) for i, t in enumerate(texts) if i not in whole]))
         return [self._ids(t).tobytes() if i in whole else next(split) for i, t in enumerate(texts)]
 
 
