@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayweft.llm import near_dedup as N
@@ -76,6 +77,29 @@ def test_large_groups_in_blocks(spark, monkeypatch, few):
     assert sorted(tuple(x) for x in N.near_groups(df, k=4).collect()) == brute(rows, 4)
 
 
+def signed_sets():
+    """v, label, items as _sets() deals them: 0, 1 and 2 are alike, 3 is not; hashes on both sides of 2**63."""
+    words = [f"s{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[1:]), " ".join(words[:-1]), " ".join(words[30:] + ["x"] * 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sets = next(N._sets(5)([batch])).column("items").to_pylist()
+    assert all(min(x) < 0 < max(x) for x in sets)
+    return [(v, (0, 1, 1, 2)[v], items) for v, items in enumerate(sets)]
+
+
+def test_block_links_on_sets_with_both_signs():
+    rows = signed_sets()
+    schema = pa.schema([("v", pa.int64()), ("label", pa.int64()), ("items", pa.list_(pa.int64()))])
+    members = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+    got = N._block_links(80)(None, members, members.rename_columns(["q_v", "q_label", "q_items"])).to_pydict()
+    assert sorted(set(zip(got["a"], got["b"]))) == [(0, 1), (0, 2)]
+
+
+def test_in_blocks_on_sets_with_both_signs(spark):
+    rows = spark.createDataFrame([(7, *x) for x in signed_sets()], "home long, v long, label long, items array<long>")
+    assert sorted(tuple(x) for x in N._in_blocks(rows, rows, 80).distinct().collect()) == [(0, 1), (0, 2)]
+
+
 def test_empty(spark):
     assert N.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

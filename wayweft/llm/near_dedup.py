@@ -120,7 +120,7 @@ def _block_links(percent: int):
             items, starts = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)[:-1]])
             names, labels = members.column("v").to_numpy(), members.column("label").to_numpy()
             for v, label, own in zip(queries.column("q_v").to_pylist(), queries.column("q_label").to_pylist(), queries.column("q_items").combine_chunks()):
-                own = own.values.to_numpy()
+                own = np.sort(own.values.to_numpy())  # sets are in the order of unsigned numbers
                 at = np.searchsorted(own, items)
                 at[at == len(own)] = 0
                 both = np.add.reduceat((own[at] == items).astype(np.int64), starts)
