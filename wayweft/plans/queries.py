@@ -202,7 +202,7 @@ def way_area_centroid(spark, d):
    select id, way, seq, street, sqrt(power(ax + t * dx, 2) + power(ay + t * dy, 2)) as d from (select *, case when dx * dx + dy * dy > 0 then greatest(0e0, least(1e0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) else 0e0 end as t from (
      select poi.id, way, seq, r.street, (x1 - lon) * k as ax, (y1 - lat) * 110540e0 as ay, (x2 - x1) * k as dx, (y2 - y1) * 110540e0 as dy from (select *, 111320e0 * cos(radians(lat)) as k from poi) poi cross join road r)))) where rn = 1 and d <= 30""", "poi", "road"))
 def street_snap(spark, d):
-    lines = _ways(spark, d).where("way % 40 = 0").select(F.col("way").alias("road"), F.concat(F.lit("Way "), (F.col("way") % 50).cast("string")).alias("street"), F.posexplode(geo.edges_of(F.col("pts"), closed=False)).alias("at", "e"))
+    lines = _ways(spark, d).select(F.col("way").alias("road"), F.concat(F.lit("Way "), (F.col("way") % 50).cast("string")).alias("street"), F.posexplode(geo.edges_of(F.col("pts"), closed=False)).alias("at", "e"))
     segments = lines.select("road", "at", "street", F.col("e.p.lon").alias("x1"), F.col("e.p.lat").alias("y1"), F.col("e.q.lon").alias("x2"), F.col("e.q.lat").alias("y2"))
     return stage1.nearest_street(synthetic.pois(spark, d), segments)
 
