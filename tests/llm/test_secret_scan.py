@@ -40,6 +40,17 @@ def test_confirmed():
     assert kinds("A" * 200) == kinds("the " * 50) == kinds("ab" * 100) == []
 
 
+def test_token_before_punctuation():
+    head, sign = URL(json.dumps({"alg": "HS256"}).encode()), URL(b"s" * 32)
+    for payload in (json.dumps({"sub": 1}).encode(), b"plain text", b"[1, 2]"):
+        token = f"{head}.{URL(payload)}.{sign}"
+        for tail in (".", ". Then", ",", "", "...", ".\n"):
+            assert [(x.start, x.end) for x in S.find(f"see {token}{tail}") if x.kind == "jwt"] == [(4, 4 + len(token))]
+        assert S.redact(f"{token}.", S.find(f"{token}.")) == "[jwt]."
+    assert kinds(f"{head}.{sign}.{sign}.{sign}.{sign}") == []  # five parts are no signed token
+    assert kinds(f"{URL(b'{}')}.{URL(b'{}')}.{sign}.") == []
+
+
 def brute_base(text):
     out = []
     for kind, pattern, flags, least, group in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 12, 2), ("access", r"AKIA[A-Z0-9]+", 0, 18, 0), ("hex", r"[0-9a-f]+", 0, 16, 0)):
