@@ -18,6 +18,7 @@ EC = tlv(0x30, tlv(2, b"\1") + tlv(4, b"k" * 32))
 FIELD = lambda x: len(x).to_bytes(4, "big") + x
 SSH = FIELD(b"ssh-ed25519") + FIELD(b"p" * 32)
 OPENSSH = b"openssh-key-v1\0" + FIELD(b"none") * 2 + FIELD(b"") + (1).to_bytes(4, "big") + FIELD(SSH) + FIELD(b"s" * 64)
+LOCKED = b"openssh-key-v1\0" + FIELD(b"aes256-ctr") + FIELD(b"bcrypt") + FIELD(b"o" * 24) + (1).to_bytes(4, "big") + FIELD(SSH) + FIELD(b"s" * 64)
 B64 = lambda x: base64.b64encode(x).decode()
 URL = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
 
@@ -51,6 +52,28 @@ def test_token_before_punctuation():
     assert kinds(f"{URL(b'{}')}.{URL(b'{}')}.{sign}.") == []
 
 
+def test_keys_over_lines():
+    """Real and literal line breaks, with and without BEGIN and END."""
+    for data, kind in ((RSA, "der"), (OPENSSH, "openssh"), (LOCKED, "openssh"), (FIELD(b"ssh-rsa") + FIELD(b"\1\0\1") + FIELD(b"m" * 257), "sshkey")):
+        for width in (64, 76):
+            lines = re.findall(f".{{1,{width}}}", B64(data))
+            for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+                pem = f"-----BEGIN PRIVATE KEY-----{end}{end.join(lines)}{end}-----END PRIVATE KEY-----"
+                text = f'"private_key": "{pem}{end}", "x": 1'
+                spans = [x for x in S.find(text) if x.kind not in S.BASE]
+                assert [(x.kind, text[x.start : x.end]) for x in spans] == [(kind, pem)]
+                bare = end.join(lines)
+                for before, after in (("key: ", " end"), (f"of{end}", f"{end}then"), ("a" * width + end, f"{end}{'b' * width}")):
+                    text = before + bare + after
+                    spans = [x for x in S.find(text) if x.kind not in S.BASE]
+                    assert [(x.kind, text[x.start : x.end]) for x in spans] == [(kind, bare)], (kind, width, end, before)
+    for end in ("\n", "\\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{end}Comment: of C:\\dir{end}{end}{B64(PKCS8)}{end}-----END PRIVATE KEY-----"
+        assert kinds(pem) == ["der"]
+        assert kinds(f"k{end}{B64(PKCS8)}{end}") == ["der"]
+    assert kinds(f"{B64(RSA)[:64]}\n{B64(RSA)[64:-8]}\n") == []
+
+
 def brute_base(text):
     out = []
     for kind, pattern, flags, least, group in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 12, 2), ("access", r"AKIA[A-Z0-9]+", 0, 18, 0), ("hex", r"[0-9a-f]+", 0, 16, 0)):

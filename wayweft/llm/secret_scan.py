@@ -4,7 +4,8 @@ Three base kinds are found by their patterns alone: assign, access and hex. The
 only after a candidate has been decoded and parsed: a signed-token header (jwt), a DER key encoding whose
 nested lengths all fit (der), an OpenSSH private key or public key blob whose length-prefixed fields fit
 (openssh, sshkey). A candidate is a base64, base64url or hexadecimal run; a PEM body counts as one run over
-its lines.
+its lines, and so do base64 lines of one width, at least 20, with a shorter or equal last one. A line may
+end in a literal backslash-n.
 
 Spans are code points, end exclusive; spans of one kind do not overlap, those of different kinds may.
 
@@ -35,8 +36,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # as AKIA[A-Z0-9]+ of 18 or more: the run is the same
 _HEX = re.compile(r"[0-9a-f]{16,}")  # likewise
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])")  # { is the first byte
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----\s*((?:[A-Za-z-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_BREAK = r"(?:\s|\\+[rn])"  # a literal backslash-n, too, as in JSON and environment strings
+_HEADERS = r"(?:[A-Za-z-]+: [^\n]*\n)*|(?:[A-Za-z-]+: (?:[^\n\\]|\\+(?![\\rn]))*(?:\\+[rn])+)*"
+_PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]+)-----{_BREAK}*({_HEADERS})((?:[A-Za-z0-9+/=\s]|\\+[rn])+?)-----END \1-----")
+_START = r"(?:(?<=\\[rn])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[rn]))"  # the n of a literal backslash-n is no base64
+_BASE64 = re.compile(_START + r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_WRAPPED = re.compile(_START + r"[A-Za-z0-9+/_-]{20,}(?:(?:[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*)[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
 #: Object identifiers of key algorithms in DER: RSA, EC, X25519, X448, Ed25519, Ed448, DSA, Diffie-Hellman.
@@ -44,6 +50,9 @@ _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201",
 #: First fields of an SSH public key blob.
 _SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
+#: First bytes of the three kinds of keys.
+_OPENINGS = (b"\x30", b"openssh-key-v1\0", *(len(x).to_bytes(4, "big") + x for x in _SSH_NAMES))
+
 
 @dataclass(frozen=True)
 class Span:
@@ -54,7 +63,7 @@ class Span:
 
 def decode(run: str) -> bytes | None:
     """Base64 or base64url, padded or not."""
-    body = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    body = re.sub(r"\s+|\\+[rn]", "", run).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -164,6 +173,53 @@ def _kind_of(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_private(data) else "sshkey" if is_ssh_blob(data) else None
 
 
+def _key_sizes(data: bytes) -> set[int]:
+    """The lengths at which a key that begins data may end."""
+    if data[:1] == b"\x30" and len(data) > 6:
+        n = data[1] & 0x7F if data[1] & 0x80 else 0
+        return {2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])} if n <= 4 else set()
+    magic, at = b"openssh-key-v1\0", 0
+    if data.startswith(magic):
+        at = len(magic)
+        for _ in range(3):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        at += 4
+    elif not data.startswith(_OPENINGS[2:]):
+        return set()
+    sizes = set()
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        sizes.add(at)
+    return sizes
+
+
+def _wrapped(text: str):
+    """(kind, start, end) of the keys that fill several base64 lines."""
+    for m in _WRAPPED.finditer(text):
+        run = m[0]
+        # the letter of a literal break is blanked, so that places stay
+        lines = [x.span() for x in _LINE.finditer(re.sub(r"\\+[rn]", lambda b: " " * len(b[0]), run))]
+        for i, (start, end) in enumerate(lines):
+            width = end - start
+            head = decode(run[start : start + 4 * min(16, width // 4)]) if width >= 20 else None
+            if not head or not any(x[: len(head)] == head[: len(x)] for x in _OPENINGS):
+                continue
+            # DER tells its length, which bounds the lines
+            most = min(len(lines), i + 2 + max(_key_sizes(head), default=0) * 4 // 3 // width) if head[:1] == b"\x30" else len(lines)
+            last = i + 1
+            while last < most and lines[last][1] - lines[last][0] == width:
+                last += 1
+            last += last < most and lines[last][1] - lines[last][0] < width
+            body = "".join(run[a:b] for a, b in lines[i:last])
+            whole = body.rstrip("=")
+            sizes = _key_sizes(decode(whole[: len(whole) // 4 * 4]) or b"")
+            size = 0
+            for a, b in lines[i:last]:
+                size += b - a
+                if b > end and len(body[:size].rstrip("=")) * 3 // 4 in sizes and (kind := _kind_of(decode(body[:size]))):
+                    yield kind, m.start() + start, m.start() + b
+
+
 def find(text: str) -> list[Span]:
     """All spans of a text by start, then kind in the order of KINDS."""
     out = []
@@ -178,6 +234,7 @@ def find(text: str) -> list[Span]:
     if "." in text:
         confirmed += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     confirmed += [(kind, *m.span()) for m in _BASE64.finditer(text) if (kind := _kind_of(decode(m[0])))]
+    confirmed += _wrapped(text)
     for m in _LONG_HEX.finditer(text):
         if kind := _kind_of(bytes.fromhex(m[0])):
             confirmed.append((kind, *m.span()))
