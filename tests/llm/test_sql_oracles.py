@@ -57,3 +57,10 @@ def test_captures(spark, broadcast):
     assert sorted((r.page_id, r.matches, r.blocked) for r in got) == sorted((i, m, bool(m)) for i, _, _, m in cases)
     assert not any(r.blocked for r in url_filter.filter_captures(captures, url_filter.entries(spark, [])).collect())
     assert url_filter.filter_captures(captures.where("false"), url_filter.entries(spark, dated)).collect() == []
+
+
+def test_prefix_keeps_the_case_of_its_path(spark):
+    dated = [("a", "prefix", "Example.ORG/Docs", "add", 0), ("b", "domain", "Example.ORG", "add", 10)]
+    rows = [(1, "http://EXAMPLE.org/Docs/x", 5), (2, "http://example.org/docs/x", 5), (3, "http://example.org/Docs", 15)]
+    got = url_filter.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetched long"), url_filter.entries(spark, dated)).collect()
+    assert {r.page_id: r.matches for r in got} == {1: "a:prefix:example.org/Docs", 2: "", 3: "a:prefix:example.org/Docs,b:domain:example.org"}

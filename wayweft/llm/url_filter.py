@@ -63,7 +63,10 @@ def entries(spark: SparkSession, rows: list[tuple] = HISTORY) -> DataFrame:
 
 def intervals(dated: DataFrame) -> DataFrame:
     """list, scope, key, since and until (exclusive; null: open) of every added entry."""
-    clean = dated.select("list", "scope", F.lower("key").alias("key"), "action", F.col("at").cast("long").alias("at")).dropna().where(F.col("action").isin("add", "remove")).distinct()
+    # a path keeps its case
+    host = F.lower(F.regexp_extract("key", "^[^/]*", 0))
+    key = F.when(F.col("scope") == "prefix", F.concat(host, F.regexp_extract("key", "(?s)/.*$", 0))).otherwise(F.lower("key"))
+    clean = dated.select("list", "scope", key.alias("key"), "action", F.col("at").cast("long").alias("at")).dropna().where(F.col("action").isin("add", "remove")).distinct()
     order = Window.partitionBy("list", "scope", "key").orderBy("at", "action")
     return clean.withColumn("until", F.lead("at").over(order)).where("action = 'add'").select("list", "scope", "key", F.col("at").alias("since"), "until")
 
