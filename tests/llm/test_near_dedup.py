@@ -53,17 +53,43 @@ def corpus(seed, n=150):
 def test_against_brute_force(spark, k):
     rows = corpus(k)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, label long").repartition(3)
-    got = sorted(tuple(x) for x in N.near_groups(df, k=k).collect())
+    got = sorted(tuple(x) for x in N.near_groups(df, k=k).drop("key", "head").collect())
     assert got == brute(rows, k)
     if k == 5:
         assert sorted(x.doc_id for x in N.keep_one(df).collect()) == [x[0] for x in got if x[3]]
 
 
+def test_rows_without_ids_of_their_own(spark):
+    """Repeated and null ids, repeated rows, clashing names: rows are judged by their own texts."""
+    one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    texts = [(5, one), (9, one), (5, two), (5, two), (None, one + " x"), (None, three), (None, three + " y"), (7, None), (7, ""), (7, ""), (None, " ")]
+    df = spark.createDataFrame([(i, t, n, 0, "s") for n, (i, t) in enumerate(texts)], "doc_id long, text string, key int, head int, _winner string")
+    got = N.near_groups(df, k=5).collect()
+    assert len(got) == len(texts)
+    assert sorted((x.doc_id, x.n_shingles) for x in got if x.component_id == 5 and x.kept) == [(5, 56), (5, 56), (5, 56)]
+    assert sorted((x.doc_id or 0, x.n_shingles, x.kept) for x in got if x.component_id == 5) == [(0, 57, False), (5, 56, True), (5, 56, True), (5, 56, True), (9, 56, False)]
+    assert sorted((x.n_shingles, x.kept) for x in got if x.component_id is None) == [(0, True), (56, True), (57, True)]
+    kept = N.keep_one(df).collect()
+    assert kept[0].asDict().keys() == {"doc_id", "text", "key", "head", "_winner"}
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept if x.text != three and x.text != three + " y") == [(0, " "), (5, one), (5, two), (7, ""), (7, ""), (7, "")]
+    assert sum((x.text or "").startswith("c0") for x in kept) == 1
+
+
+def test_very_long_text(spark):
+    r = random.Random(4)
+    words = [f"v{r.randrange(50_000)}" for _ in range(200_000)]
+    other = list(words)
+    for i in range(0, 200_000, 40):
+        other[i] = "changed"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:150_000]))], "doc_id long, text string")
+    assert sorted((x.doc_id, x.component_id) for x in N.near_groups(df, k=4).collect()) == [(1, 1), (2, 1), (3, 3)]
+
 @pytest.mark.parametrize("few", [0, 3])
 def test_large_groups_in_blocks(spark, monkeypatch, few):
     """One base with many edits: pairs of copies are often linked through others alone, and buckets are large."""
     monkeypatch.setattr(N, "FEW", few)
-    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "ITEMS", 500)
+    monkeypatch.setattr(N, "GROUPS", (1, 2))
     monkeypatch.setattr(N, "SPOKESMEN", 1)
     r = random.Random(8)
     base = [f"b{i}" for i in range(80)]
@@ -74,7 +100,7 @@ def test_large_groups_in_blocks(spark, monkeypatch, few):
             words[r.randrange(80)] = f"e{r.randrange(400)}"
         rows.append((1000 - i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(x) for x in N.near_groups(df, k=4).collect()) == brute(rows, 4)
+    assert sorted(tuple(x) for x in N.near_groups(df, k=4).drop("key", "head").collect()) == brute(rows, 4)
 
 
 def signed_sets():
@@ -96,8 +122,8 @@ def test_block_links_on_sets_with_both_signs():
 
 
 def test_in_blocks_on_sets_with_both_signs(spark):
-    rows = spark.createDataFrame([(7, *x) for x in signed_sets()], "home long, v long, label long, items array<long>")
-    assert sorted(tuple(x) for x in N._in_blocks(rows, rows, 80).distinct().collect()) == [(0, 1), (0, 2)]
+    rows = spark.createDataFrame([(7, v, len(items), label, items) for v, label, items in signed_sets()], "home long, v long, n long, label long, items array<long>")
+    assert sorted(tuple(x) for x in N._in_blocks(rows.drop("items"), rows.drop("items"), rows.select("v", "items"), 80).distinct().collect()) == [(0, 1), (0, 2)]
 
 
 def test_empty(spark):

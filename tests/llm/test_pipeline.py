@@ -79,3 +79,27 @@ def test_empty(spark, tmp_path):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+
+
+def test_every_stage_judges_rows(spark, tmp_path):
+    """Null, repeated ids, repeated rows, empty and long texts, and columns with names that stages use themselves."""
+    en = "the people of the town are going to the house with the others and they will have been there for the day"
+    de = "die leute in der stadt sind mit den anderen in das haus gegangen und werden dort den ganzen tag lang sein"
+    key = "password = abcdefabcdef0123"
+    rows = [(5, en), (9, en), (5, de), (5, de), (None, f"{en} {key}"), (None, None), (3, ""), (4, "?!"), (7, "the and of with " * 30_000), (None, f"{de} {key} {key}")]
+    columns = "doc_id long, text string, lang string, _winner int, _good string, key int, copies int, v string"
+    df = spark.createDataFrame([(i, t, ("en" if t == en else "de" if t == de else None), n, "g", n, 1, "v") for n, (i, t) in enumerate(rows)], columns)
+    df.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in C.STAGES[:-1]:
+        out = scratch.materialise(stage(spark, docs, str(tmp_path)), "edge")
+        assert out.columns == docs.columns
+        docs = out
+        seen.append(sorted((r.doc_id or 0, (r.text or "")[:3], len(r.text or "")) for r in docs.collect()))
+    short = [(0, en[:3], len(en) + 28), (0, de[:3], len(de) + 56), (5, "die", len(de)), (7, "the", 480_000)]
+    assert seen[0] == sorted([*short, (5, "die", len(de)), (5, "the", len(en)), (9, "the", len(en))])
+    assert seen[1] == sorted([*short, (9, "the", len(en))])
+    assert (7, "the", 480_000) in seen[2] and len(seen[2]) == len(brute_near(list(enumerate(dict.fromkeys(t for _, t in rows if t and len(t) > 5)))))
+    assert len(seen[3]) == len(seen[2]) and not any("abcdefabcdef" in r.text for r in docs.collect())
+    packed = C.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} and sum(r.piece == 0 for r in packed) == docs.count()

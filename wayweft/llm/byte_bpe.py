@@ -152,14 +152,13 @@ def round_trips(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = shared(path, pattern)
-        for batch in batches:
+        for batch in frames.parts(batches):
             ids = [x for at in range(0, batch.num_rows, 200) for x in bpe.encode_batch([t or "" for t in batch.column(1).slice(at, 200).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    frames.small_batches(docs.sparkSession)
     return frames.documents(docs).mapInArrow(run, _OUT)
 
 
@@ -168,11 +167,10 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = shared(path, pattern)
-        for batch in batches:
+        for batch in frames.parts(batches):
             ids = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    frames.small_batches(docs.sparkSession)
     return frames.documents(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -181,9 +179,8 @@ def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = shared(path, pattern)
-        for batch in batches:
+        for batch in frames.parts(batches):
             texts = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    frames.small_batches(ids.sparkSession)
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -6,9 +6,9 @@ goes by length and content hash to owners, which insert the full byte strings in
 a terminal node stores the chosen identifier and the number of rows. A task's local group is then
 joined with its owner's verdict by the local group's number, so no row of a hot text meets the others.
 
-Results: one row per document. A null text counts as empty; empty texts are equal to each other; equal
-ids are ordinary rows (each counts; both are kept if theirs is the winning id); an empty table gives no
-row; rows with a null id take no part; other columns are ignored.
+Results: one row per row of the table. A null text counts as empty; empty texts are equal to each other. Exactly one
+row of a text is kept, that of the chosen id; of several with that id, any one. A null id is chosen only where no row
+of the text has an id. An empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -182,40 +182,50 @@ def _key(data: bytes) -> bytes:
     return len(data).to_bytes(8, "big") + data
 
 
-def _merge(keep: str):
-    choose = {"largest": max, "smallest": min}[keep]
+def _rank(keep: str):
+    """The order in which rows are chosen: by id, null ids last; then by their numbers."""
+    if keep == "largest":
+        return lambda doc_id, row: (doc_id is None, -(doc_id or 0), row)
+    return lambda doc_id, row: (doc_id is None, doc_id or 0, row)
 
-    def merge(old: list, new: list) -> None:
-        old[0] = choose(old[0], new[0])
-        old[1] += new[1]
-        old[2] += new[2]
 
-    return merge
+def _merge(old: list, new: list) -> None:
+    """Values are [rank, rows, local groups]."""
+    old[0] = min(old[0], new[0])
+    old[1] += new[1]
+    old[2] += new[2]
 
 
-#: A link row has doc_id, local_id and sha; a group row local_id, n_bytes, hash, body, winner and n.
-_LOCAL = pa.schema([("doc_id", pa.int64()), ("local_id", pa.string()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("hash", pa.int64()), ("body", pa.binary()), ("winner", pa.int64()), ("n", pa.int64())])
-_OWNED = pa.schema([("local_id", pa.string()), ("winner", pa.int64()), ("total", pa.int64())])
+#: A link row has doc_id, text_key, row, local_id and sha; a group row local_id, n_bytes, hash, body, the winner's id and row, and n.
+_LOCAL = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("local_id", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("hash", pa.int64()), ("body", pa.binary()), ("winner", pa.int64()), ("winner_row", pa.int64()), ("n", pa.int64())])
+_OWNED = pa.schema([("local_id", pa.int64()), ("winner", pa.int64()), ("winner_row", pa.int64()), ("total", pa.int64())])
 
 
 def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _chosen(rank: tuple, keep: str) -> tuple[int | None, int]:
+    """The id and the row of a rank."""
+    none, number, row = rank
+    return None if none else -number if keep == "largest" else number, row
+
+
 def _local_groups(keep: str, limit: int):
-    """First pass: a link row for each row, a group row for each distinct text of the task."""
+    """First pass: a link row for each row, a group row for each distinct text of the task. A local group goes by the
+    number of its first row."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, serial, merge = TaskContext.get().partitionId(), 0, _merge(keep)
-        trie = PatriciaTrie(merge, 1 << 62)
+        row, rank = TaskContext.get().partitionId() << 40, _rank(keep)
+        trie = PatriciaTrie(_merge, 1 << 62)
 
         def groups(trie):
             out: list[list] = [[] for _ in _LOCAL.names]
             for key, v in trie.walk():
                 data = key[8:]
-                for column, x in zip(out, (None, v[2][0], None, len(data), xxhash.xxh3_64_intdigest(data) - (1 << 63), data, v[0], v[1])):
+                for column, x in zip(out, (None, None, None, v[2][0], None, len(data), xxhash.xxh3_64_intdigest(data) - (1 << 63), data, *_chosen(v[0], keep), v[1])):
                     column.append(x)
                 if len(out[0]) >= 500:
                     yield _batch(_LOCAL, out)
@@ -223,21 +233,22 @@ def _local_groups(keep: str, limit: int):
             if out[0]:
                 yield _batch(_LOCAL, out)
 
-        for batch in batches:
-            ids, locals_, shas = batch.column(0).to_pylist(), [], []
+        for batch in frames.parts(batches):
+            ids, rows, locals_, shas = batch.column(0).to_pylist(), [], [], []
             for doc_id, data in zip(ids, batch.column(1).cast(pa.binary()).to_pylist()):
                 data = data or b""
-                value = trie.insert(_key(data), [doc_id, 1, []])
+                value = trie.insert(_key(data), [rank(doc_id, row), 1, []])
                 if not value[2]:
-                    value[2] = [f"{part}-{serial}", hashlib.sha256(data).hexdigest()]
-                    serial += 1
+                    value[2] = [row, hashlib.sha256(data).hexdigest()]
+                rows.append(row)
                 locals_.append(value[2][0])
                 shas.append(value[2][1])
+                row += 1
             none = [None] * len(ids)
-            yield _batch(_LOCAL, [ids, locals_, shas, none, none, none, none, none])
+            yield _batch(_LOCAL, [ids, batch.column(2).to_pylist(), rows, locals_, shas, none, none, none, none, none, none])
             if trie.size > limit:
                 yield from groups(trie)
-                trie = PatriciaTrie(merge, 1 << 62)
+                trie = PatriciaTrie(_merge, 1 << 62)
         yield from groups(trie)
 
     return run
@@ -247,40 +258,43 @@ def _owners(keep: str, limit: int):
     """Second pass: each local group with the winner and the number of rows of its text."""
 
     def run(batches):
-        trie = PatriciaTrie(_merge(keep), limit)
+        trie, rank = PatriciaTrie(_merge, limit), _rank(keep)
         for batch in batches:
-            for local_id, body, winner, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                trie.insert(_key(body), [winner, n, [local_id]])
-        out: list[list] = [[], [], []]
-        for winner, n, members in trie.items():
+            for local_id, body, winner, winner_row, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                trie.insert(_key(body), [rank(winner, winner_row), n, [local_id]])
+        out: list[list] = [[] for _ in _OWNED.names]
+        for best, n, members in trie.items():
             for m in members:
-                for column, x in zip(out, (m, winner, n)):
+                for column, x in zip(out, (m, *_chosen(best, keep), n)):
                     column.append(x)
             if len(out[0]) >= 5000:
                 yield _batch(_OWNED, out)
-                out = [[], [], []]
+                out = [[] for _ in _OWNED.names]
         yield _batch(_OWNED, out)
 
     return run
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", limit: int = TRIE_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for each row of docs; keep: the largest or smallest id stays."""
+    """doc_id, keep_id, group_size, kept and text_sha256 for each row of docs, and its key (frames.row_key); keep: the
+    largest or smallest id stays."""
     spark = docs.sparkSession
-    frames.small_batches(spark)
-    schema = "doc_id long, local_id string, sha string, n_bytes long, hash long, body binary, winner long, n long"
-    local = scratch.materialise(frames.documents(docs).mapInArrow(_local_groups(keep, limit), schema), "exact-local")
+    schema = "doc_id long, text_key long, row long, local_id long, sha string, n_bytes long, hash long, body binary, winner long, winner_row long, n long"
+    keyed = frames.documents(docs, frames.row_key()["text"].alias("text_key"))
+    local = scratch.materialise(keyed.mapInArrow(_local_groups(keep, limit), schema), "exact-local")
     groups = local.where("body is not null").repartition(frames.partitions(spark), "n_bytes", "hash")
-    owned = groups.select("local_id", "body", "winner", "n").mapInArrow(_owners(keep, limit), "local_id string, winner long, total long")
+    owned = groups.select("local_id", "body", "winner", "winner_row", "n").mapInArrow(_owners(keep, limit), "local_id long, winner long, winner_row long, total long")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
     return (
-        local.where("doc_id is not null")
-        .select("doc_id", "local_id", "sha")
+        local.where("row is not null")
+        .select("doc_id", "text_key", "row", "local_id", "sha")
         .join(owned, "local_id")
-        .select("doc_id", F.col("winner").alias("keep_id"), F.col("total").alias("group_size"), (F.col("doc_id") == F.col("winner")).alias("kept"), F.col("sha").alias("text_sha256"))
+        .select("doc_id", F.col("winner").alias("keep_id"), F.col("total").alias("group_size"), (F.col("row") == F.col("winner_row")).alias("kept"), F.col("sha").alias("text_sha256"), key.alias("key"))
     )
 
 
 def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of docs whose id wins in their group, with all their columns; rows with a null id stay."""
-    winners = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_winner")).distinct()
-    return docs.join(winners, F.col("_winner") == docs["doc_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of docs for each text, that of the chosen id, with all its columns."""
+    alike = exact_groups(docs, keep).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    winners = alike.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("kept").alias("kept")).where("kept")
+    return frames.one_row_each(docs, scratch.materialise(winners.select("key", "copies"), "exact-winners"))

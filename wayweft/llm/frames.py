@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that go to Python at once, so that a batch of long texts stays small.
+#: Rows of text that a Python function takes up at once. Spark bounds the bytes of what it sends
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), so a batch of long texts stays small, too.
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch length if it is longer than BATCH_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id as long and text alone. Rows whose id is null cannot be named in a result and take no part."""
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+def documents(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """doc_id as long and text alone, of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def text_size(docs: DataFrame) -> tuple[int, int]:
@@ -40,3 +43,22 @@ def blocks_for(total: int, each: int, least: int = 1) -> int:
 def mixed(column: Column, n: int) -> Column:
     """An even spread of a key over 0 .. n-1."""
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
+    """A row by its id and text: rows of one key are copies of each other but for other columns. Null ids come last."""
+    doc_id = F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id
+    return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(doc_id, F.col(text) if isinstance(text, str) else text).alias("text"))
+
+
+def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each of keys(key, copies): key is a row_key() of docs, once, and
+    copies the number of rows that have it."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # names of docs that clash with no other
+    at = {c: p for c, p in zip(docs.columns, plain)}
+    named = docs.toDF(*plain).withColumn("key", row_key(F.col(at["doc_id"]).cast("long"), F.col(at["text"]).cast("string")))
+    met = named.join(keys.select("key", "copies"), "key")
+    out = met.where("copies = 1").select(plain)
+    if not keys.where("copies > 1").isEmpty():
+        out = out.union(met.where("copies > 1").dropDuplicates(["key"]).select(plain))
+    return out.toDF(*docs.columns)

@@ -5,14 +5,16 @@ sum over all its segmentations into pieces (a forward algorithm); a text's is th
 times the language's prior. The piece probabilities come from expectation-maximisation: forward and
 backward sums give expected piece counts over all segmentations of the training words.
 
-Words are maximal runs of letters, lower-cased; a run of more than WORD_LETTERS letters counts as several
-words of at most that length, one after the other. A character outside the vocabulary is a piece of its own
-with the probability UNKNOWN. Training reads the words of a sample of at most about `sample` labelled rows
-of each language, chosen by a hash of the id; priors come from all labelled rows. Prediction reads text only.
-
-Results: one row per document. A null or empty text, or one without a letter, is `und` with score 0. With no
-labelled row every text is `und`. Equal scores go to the first language in alphabetical order. Rows with a
-null id take no part; repeated ids and texts are ordinary rows; other columns are ignored.
+Words are maximal runs of letters, lower-cased, of any length: up to WORD_LETTERS letters many words are summed at
+once, longer ones one by one with their sums rescaled as they go. A character outside the vocabulary is a piece of
+its own with the probability UNKNOWN. Training reads the words of a sample of at most about `sample` labelled rows of
+each language, chosen by a hash of the id and the text (runs of more than WORD_LETTERS letters count as several words
+there); priors come from all labelled rows. What the driver holds is bounded by `sample` rows of at most LANGUAGES
+languages; more languages are an error. Prediction reads text only.
+
+Results: one row per row of the table. A null or empty text, or one without a letter, is `und` with score 0. With no
+labelled row every text is `und`. Equal scores go to the first language in alphabetical order. Null and repeated ids
+and repeated texts are ordinary rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,19 +34,24 @@ from .pair_table import NONE, PairTable
 
 WORD_LETTERS = 40
 UNKNOWN = 1e-9
+#: Sums below this are taken again with rescaling.
+SMALLEST = 1e-280
 #: Labelled rows of each language in the training sample, and rounds of expectation-maximisation.
 SAMPLE, ROUNDS = 400, 3
-#: Words a worker remembers before it starts afresh.
-CACHE_WORDS = 800_000
+#: Most languages that training takes.
+LANGUAGES = 1000
+#: Words a worker remembers before it starts afresh; words longer than LONG are not remembered.
+CACHE_WORDS, LONG = 800_000, 200
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    found = _LETTERS.findall(text.lower())
-    if found and max(map(len, found)) > WORD_LETTERS:
-        found = [w[i : i + WORD_LETTERS] for w in found for i in range(0, len(w), WORD_LETTERS)]
-    return found
+    return _LETTERS.findall(text.lower())
+
+
+def training_words(text: str) -> list[str]:
+    return [w[i : i + WORD_LETTERS] for w in words_of(text) for i in range(0, len(w), WORD_LETTERS)]
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -70,6 +77,7 @@ class PieceTrie:
                     right.append(ord(piece[i - 1]))
                     value.append(nodes[piece[:i]])
         self.steps = PairTable(left, right, value)
+        self.next = {(a, chr(b)): c for a, b, c in zip(left, right, value)}
         self.piece = np.full(len(nodes), -1, dtype=np.int64)
         self.piece[[nodes[p] for p in vocab]] = list(vocab.values())
         self.size = len(vocab)
@@ -138,14 +146,44 @@ class Model:
         out = np.empty((len(words), len(self.languages)))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_length.setdefault((len(w) + 3) // 4, []).append(i)
+            if len(w) > WORD_LETTERS:
+                out[i] = self.log_long(w)
+            else:
+                by_length.setdefault((len(w) + 3) // 4, []).append(i)
         for rows in by_length.values():
             for at in range(0, len(rows), 20_000):
                 part = rows[at : at + 20_000]
                 lattice = Lattice([words[i] for i in part], self.trie)
-                out[part] = np.log(np.maximum(lattice.totals(lattice.forward(self.probability)), 1e-300))
+                totals = lattice.totals(lattice.forward(self.probability))
+                small = (totals < SMALLEST).any(axis=1)
+                out[part] = np.log(np.maximum(totals, SMALLEST))
+                for i in np.flatnonzero(small).tolist():
+                    out[part[i]] = self.log_long(words[part[i]])
         return out
 
+    def log_long(self, word: str) -> np.ndarray:
+        """The same of one word of any length: each language's sums are rescaled from letter to letter."""
+        text, step, piece, probability = "▁" + word, self.trie.next, self.trie.piece, self.probability
+        log = np.zeros(len(self.languages))
+        open_ = {0: np.ones(len(self.languages))}  # position -> the sum of what ends there, over the scale so far
+        for start in range(len(text)):
+            here = open_.pop(start)
+            log += np.log(here)
+            for end in open_:
+                open_[end] = open_[end] / here
+            node, end = 0, start
+            while True:
+                node = step.get((node, text[end]))
+                end += 1
+                number = int(piece[node]) if node is not None else -1
+                if number < 0 and end == start + 1:
+                    number = self.trie.size
+                if number >= 0:
+                    open_[end] = open_[end] + probability[number] if end in open_ else probability[number]
+                if node is None or end == len(text):
+                    break
+        return log + np.log(open_[len(text)])
+
 
 def fit(counts: dict[str, Counter], documents: dict[str, int], vocab: dict[str, int], rounds: int = ROUNDS) -> Model:
     """counts: words of each language; documents: labelled rows of each language."""
@@ -169,18 +207,20 @@ def fit(counts: dict[str, Counter], documents: dict[str, int], vocab: dict[str,
 
 def train(labelled: DataFrame, vocab_path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model | None:
     """labelled: doc_id, text, lang. None if nothing is labelled."""
-    rows = labelled.where("lang is not null and doc_id is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.where("lang is not null and text is not null")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
 
     def count(batches):
         found: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in frames.parts(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(lang, Counter()).update(words_of(text))
+                found.setdefault(lang, Counter()).update(training_words(text))
         for lang, words in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -191,45 +231,87 @@ def train(labelled: DataFrame, vocab_path: str, sample: int = SAMPLE, rounds: in
     return fit(counts, sizes, vocabulary(vocab_path), rounds)
 
 
+class Scorer:
+    """A worker process's own, kept from task to task beside its copy of the model: the words scored so far."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.rows, self.table = model, {}, np.zeros((1024, len(model.languages) if model else 0))
+
+    def _remember(self, words: list[str]) -> None:
+        if not words:
+            return
+        at = len(self.rows)
+        while at + len(words) > len(self.table):
+            self.table = np.vstack([self.table, np.empty_like(self.table)])
+        self.table[at : at + len(words)] = self.model.log_words(words)
+        self.rows.update(zip(words, range(at, at + len(words))))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """The language of each text, its posterior probability and the number of words."""
+        found = [words_of(t) if t and self.model else [] for t in texts]
+        found = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in found]  # ² and the like are no letters
+        if len(self.rows) > CACHE_WORDS:
+            self.rows = {}
+        every = set().union(*found)
+        long = {w: self.model.log_words([w])[0] for w in every if len(w) > LONG}
+        self._remember([w for w in every if w not in self.rows and w not in long])
+        names, scores = [], []
+        for ws in found:
+            if not ws:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            log = self.model.prior.copy()
+            if long:
+                log += sum((long[w] for w in ws if w in long), np.zeros_like(log))
+                ws = [w for w in ws if w not in long]
+            log += self.table[np.fromiter(map(self.rows.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+            best = int(log.argmax())
+            names.append(self.model.languages[best])
+            scores.append(min(1.0, float(1 / np.exp(np.minimum(log - log[best], 0)).sum())))
+        return names, scores, list(map(len, found))
+
+
+def _scorer(shared) -> Scorer:
+    model = shared.value
+    if model is None:
+        return Scorer(None)
+    if not hasattr(model, "scorer"):
+        model.scorer = Scorer(model)
+    return model.scorer
+
+
 _OUT = "doc_id long, lang_pred string, score double, n_words long"
 
 
-def _predictor(shared):
-    def run(batches):
-        model: Model | None = shared.value
-        # a worker process keeps the words it has scored from task to task, beside its copy of the model
-        rows, table = getattr(model, "scored", ({}, np.zeros((0, len(model.languages) if model else 0))))
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            found = [words_of(t) if t and model else [] for t in texts]
-            found = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in found]  # ² and the like are no letters
-            if len(rows) > CACHE_WORDS:
-                rows, table = {}, table[:0]
-            fresh = [w for w in set().union(*found) if w not in rows]
-            if fresh:
-                rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
-                table = np.vstack([table, model.log_words(fresh)])
-                model.scored = rows, table
-            names, scores = [], []
-            for ws in found:
-                if not ws:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                log = table[np.fromiter(map(rows.__getitem__, ws), np.int64, len(ws))].sum(axis=0) + model.prior
-                best = int(log.argmax())
-                names.append(model.languages[best])
-                scores.append(min(1.0, float(1 / np.exp(np.minimum(log - log[best], 0)).sum())))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(list(map(len, found)), pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
-
-    return run
+def _shared(docs: DataFrame, model: Model | None):
+    return docs.sparkSession.sparkContext.broadcast(model)  # at most a few MB for a language: the vocabulary's probabilities
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (the language's posterior probability) and n_words (of letters)."""
-    frames.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most a few MB: vocabulary times languages
-    return frames.documents(docs).mapInArrow(_predictor(shared), _OUT)
+    shared = _shared(docs, model)
+
+    def run(batches):
+        scorer = _scorer(shared)
+        for batch in frames.parts(batches):
+            names, scores, sizes = scorer.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
+
+    return frames.documents(docs).mapInArrow(run, _OUT)
+
+
+def clear(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with at least this score."""
+    shared = _shared(docs, model)
+
+    def run(batches):
+        scorer = _scorer(shared)
+        for batch in frames.parts(batches):
+            names, scores, _ = scorer.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def remainder():
@@ -237,11 +319,17 @@ def remainder():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
+def labelled(docs: DataFrame, held_out: int | None = None) -> DataFrame:
+    """doc_id, text and lang of the rows that training may read: those with an id whose remainder is not held_out."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
+    return rows if held_out is None else rows.where(remainder() != held_out)
+
+
 def identify(docs: DataFrame, vocab_path: str, sample: int = SAMPLE, rounds: int = ROUNDS, held_out: int = 2) -> DataFrame:
-    """Train on the labelled rows whose remainder is not held_out, and predict every row; adds held_out."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(remainder() != held_out)
-    model = train(labelled, vocab_path, sample, rounds)
-    return predict(docs, model).withColumn("held_out", remainder() == held_out)
+    """Train on the labelled rows whose remainder is not held_out, and predict every row; adds held_out (false without
+    an id)."""
+    model = train(labelled(docs, held_out), vocab_path, sample, rounds)
+    return predict(docs, model).withColumn("held_out", F.coalesce(remainder() == held_out, F.lit(False)))
 
 
 def crc_remainder(doc_id: int) -> int:

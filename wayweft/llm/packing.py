@@ -107,7 +107,7 @@ def _encode(path: str, capacity: int):
 
     def run(batches):
         tokens = word_tokens.shared(path)
-        for batch in batches:
+        for batch in frames.parts(batches):
             rows, found = [], []
             for at in range(0, batch.num_rows, 100):
                 found += tokens.encode_texts([t or "" for t in batch.column(1).slice(at, 100).to_pylist()])
@@ -126,7 +126,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each document by the vocabulary in path, with the closing id at its end."""
-    frames.small_batches(docs.sparkSession)
     return frames.documents(docs).mapInArrow(_encode(path, capacity), PIECES)
 
 

@@ -31,13 +31,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest").drop("key")
 
 
 ORACLES["op2_exact_dedup"] = """
-with d as (select doc_id, coalesce(text, '') as t from documents where doc_id is not null)
+with d as (select doc_id, coalesce(text, '') as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
-       doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
 from d
 """
 
@@ -49,7 +49,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), k=4, percent=80).drop("key", "head")
 
 
 @query

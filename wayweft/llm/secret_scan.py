@@ -271,7 +271,7 @@ _SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 stri
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in frames.parts(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             spans = find(text or "")
@@ -284,12 +284,11 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of each document."""
-    frames.small_batches(docs.sparkSession)
     return frames.documents(docs).mapInArrow(_scan, _SCAN)
 
 
 def _redact(batches):
-    for batch in batches:
+    for batch in frames.parts(batches):
         at = batch.schema.get_field_index("text")
         texts = [t if not t else redact(t, find(t)) for t in batch.column(at).to_pylist()]
         yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
@@ -297,6 +296,5 @@ def _redact(batches):
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with the spans in text replaced by their kinds in brackets; n_chars, if there, follows."""
-    frames.small_batches(docs.sparkSession)
     out = docs.mapInArrow(_redact, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
