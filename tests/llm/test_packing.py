@@ -14,25 +14,83 @@ TEXTS = ["", "The cat's  hat,\n\nit's 3 o'clock\x1cnow", "ÉTÉ İstanbul ß Σ
 
 
 def test_ids_match_the_library():
-    t, w = Tokenizer.from_file(PATH), WordTokens(PATH)
+    t = Tokenizer.from_file(PATH)
     r = random.Random(0)
-    alphabet = list("abcdE'stré \n\t  ,.!12́İΣ\x1d") + ["'ll", "😀", "the "]
+    alphabet = list("abcdE'stréÀÿºµİŉſĀž \n\t  ,.!12́İΣ\x1d\x00") + ["'ll", "😀", "the ", "averylongwordindeed", "\xa0", "“", "’s", "<|endoftext|>"]
     texts = TEXTS + ["".join(r.choices(alphabet, k=r.randrange(80))) for _ in range(2000)]
-    for limit in (10, 10_000):
-        w.cache.limit = limit
-        for text, got in zip(texts, w.encode_texts(texts)):
-            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    for limit in (50, 100_000):
+        w = WordTokens(PATH, limit)
+        for at in range(0, len(texts), 30):
+            for text, got in zip(texts[at : at + 30], w.encode_texts(texts[at : at + 30])):
+                assert got.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def check(bins, lengths, capacity):
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[i] for i in b) for b in bins) <= capacity
+    assert -(-sum(lengths) // capacity) <= len(bins)
 
 
 @pytest.mark.parametrize("seed", range(5))
 def test_evolve_never_loses_an_item(seed):
     r = random.Random(seed)
     lengths = [r.choice([1, 5, r.randrange(1, 100)]) for _ in range(300)]
-    plain = P.best_fit(sorted(range(300), key=lambda i: (-lengths[i], i)), lengths, 100)
-    best = P.evolve(lengths, 100, seed, generations=50)
-    assert sorted(i for b in best for i in b) == list(range(300))
-    assert max(sum(lengths[i] for i in b) for b in best) <= 100
-    assert -(-sum(lengths) // 100) <= len(best) <= len(plain)
+    found = P.evolve(lengths, 100, seed, generations=10)
+    check(found.bins, lengths, 100)
+    assert len(found.bins) <= found.plain
+
+
+def planted(seed, bins):
+    """Three pieces fill each bin exactly."""
+    r, out = random.Random(seed), []
+    for _ in range(bins):
+        a = r.randint(380, 490)
+        b = r.randint(250, (1000 - a) // 2)
+        out += [a, b, 1000 - a - b]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossover_saves_bins(seed, monkeypatch):
+    """Best fit by decreasing length, and any number of other orders, need more bins than crossover does."""
+    lengths = planted(seed, 40)
+    found = P.evolve(lengths, 1000, seed)
+    check(found.bins, lengths, 1000)
+    assert found.children and found.stayed and len(found.bins) <= found.plain - 4
+    monkeypatch.setattr(P, "crossover", lambda mine, *_: mine)
+    without = P.evolve(lengths, 1000, seed)
+    assert len(without.bins) >= len(found.bins) + 3 and not without.stayed
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying all places of each item in turn."""
+    best = [len(lengths)]
+
+    def place(at, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if at == len(lengths):
+            best[0] = len(rooms)
+            return
+        for n, room in enumerate(rooms):
+            if room >= lengths[at] and room not in rooms[:n]:
+                place(at + 1, [*rooms[:n], room - lengths[at], *rooms[n + 1 :]])
+        place(at + 1, [*rooms, capacity - lengths[at]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_cases_against_the_optimum():
+    r, saved = random.Random(6), 0
+    for case in range(60):
+        lengths = planted(case, 3) if case % 3 == 0 else [r.randint(100, 600) for _ in range(9)]
+        found = P.evolve(lengths, 1000, case, generations=10)
+        check(found.bins, lengths, 1000)
+        assert len(found.bins) == fewest(sorted(lengths, reverse=True), 1000)
+        saved += found.plain - len(found.bins)
+    assert saved > 5
 
 
 def valid(rows, capacity=4096):
@@ -67,17 +125,20 @@ def test_documents(spark):
 
 
 def test_levels(spark, monkeypatch):
-    monkeypatch.setattr(P, "PROBLEM", 40)
-    r = random.Random(3)
-    rows = [(i // 2, i % 2, 0, r.randrange(1, 4097) if i % 10 else 4096, i) for i in range(400)] + [(1, 0, 0, 7, 7)] * 3
-    got = P.pack(spark.createDataFrame(rows, P.PIECES)).collect()
+    monkeypatch.setattr(P, "PROBLEM", 60)
+    rows = [(i // 2, i % 2, 0, n, i) for i, n in enumerate(planted(3, 100) + [1000] * 40)] + [(1, 0, 0, 7, 7)] * 3
+    report = []
+    got = P.pack(spark.createDataFrame(rows, P.PIECES), 1000, report=report).collect()
     assert sorted((x.doc_id, x.piece, x.length) for x in got) == sorted((x[0], x[1], x[3]) for x in rows)
-    assert valid(got) <= 1.08 * sum(x[3] for x in rows) / 4096 + 1
+    assert valid(got, 1000) <= 148
+    pieces, problems, plain, bins, children, stayed = report[0]
+    assert pieces == 303 and problems == 6 and bins <= plain - 10 and children > stayed > 0 and len(report) > 1
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, None, 0), (2, "", 0), (2, "", 0), (None, "a", 0), (3, "word " * 20_000, 0)], "doc_id long, text string, length int")
+    df = spark.createDataFrame([(1, None, 0, 1), (2, "", 0, 1), (2, "", 0, 1), (None, "a", 0, 1), (None, None, 0, 1), (3, "word " * 20_000, 0, 1)], "doc_id long, text string, length int, no int")
     got = P.pack(P.pieces(df, PATH)).collect()
     valid(got)
     assert sorted(x.length for x in got if x.doc_id in (1, 2)) == [1, 1, 1] and sum(x.length for x in got if x.doc_id == 3) == 20_001
+    assert sorted(x.length for x in got if x.doc_id is None) == [1, 2]
     assert P.pack(P.pieces(df.where("false"), PATH)).collect() == []

@@ -3,15 +3,19 @@
 A document's ids are cut into pieces of at most the sequence length; full pieces are sequences of their own.
 The other pieces are dealt evenly to problems of a bounded number of pieces. Each problem is evolved on several
 islands, each a task of its own with its own population: crossover injects whole well-filled bins of one parent
-into another, removes the bins that hold duplicates, and best-fits the displaced pieces; after each epoch every
-island's elite migrates to its neighbour. The best elite of a problem decides. Bins that are not full enough are
-then opened, and their pieces form the problems of the next, smaller level, until one problem is left.
+into another, removes the bins that hold duplicates, lets the remaining poor bins trade pieces with the displaced ones
+where that fills them better, and best-fits what is still displaced. Fitness is the number of bins, then how unevenly
+they are filled, so that what room there is gathers in few bins. After each epoch every island's elite migrates to its
+neighbour, and the best elite of a problem decides. Bins with room are then opened, and their pieces form the problems
+of the next, smaller level, until one problem is left, no bin can be saved any more, or LEVELS are done.
+
+A problem ends at once where the plain best fit by decreasing length is ideal: no fewer bins are possible, and all but
+one are exactly full.
 
 Every step is deterministic: random choices are seeded by level, problem, island and epoch.
 
-Results: one row per piece. A null text counts as empty and gives one piece, of the closing id alone. Repeated
-ids are packed as rows of their own. Rows with a null id take no part; an empty table gives no row; other
-columns are ignored.
+Results: one row per piece. A null text counts as empty and gives one piece, of the closing id alone. Null and
+repeated ids are packed as rows of their own; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import math
 import random
 import zlib
 from bisect import bisect_left, insort
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,9 +36,9 @@ from . import frames, scratch, word_tokens
 
 CAPACITY, CLOSING_ID = 4096, 1
 #: Pieces of a problem, islands, epochs between migrations, generations in an epoch, solutions on an island.
-PROBLEM, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1500, 2, 2, 8, 4
-#: A bin this full is left alone by later levels.
-FULL = 0.995
+PROBLEM, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1500, 2, 2, 4, 6
+#: A bin with no more room than this share is left alone by later levels; levels at most.
+ROOM, LEVELS = 0.001, 4
 
 Bins = list[list[int]]
 
@@ -60,44 +65,107 @@ def fitness(bins: Bins, lengths: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def ideal(lengths: list[int], capacity: int) -> tuple[int, float]:
+    """The fitness of bins that are all full but for one."""
+    full, rest = divmod(sum(lengths), capacity)
+    return -(full + (rest > 0)), full + (rest / capacity) ** 2
+
+
+def trade(bin_: list[int], room: int, loose: list[tuple[int, int]], lengths: list[int]) -> None:
+    """One or two items of the bin, which has this room, for one loose item (length, item) that fills it better, while
+    there is one."""
+    while room:
+        best, gain = None, 0
+        single = [(lengths[i], (i,)) for i in bin_]
+        double = [(a + b, x + y) for n, (a, x) in enumerate(single) for b, y in single[n + 1 :]] if len(bin_) < 8 else []
+        for out, items in single + double:
+            place = bisect_left(loose, (out + room + 1, -1)) - 1
+            if place >= 0 and loose[place][0] - out > gain:
+                best, gain = (items, place), loose[place][0] - out
+                if gain == room:
+                    break
+        if best is None:
+            return
+        items, place = best
+        _, item = loose.pop(place)
+        for x in items:
+            bin_.remove(x)
+            insort(loose, (lengths[x], x))
+        bin_.append(item)
+        room -= gain
+
+
 def crossover(mine: Bins, theirs: Bins, lengths: list[int], capacity: int, r: random.Random) -> Bins:
-    """theirs' well-filled bins, whole, into mine; what they displace is best-fitted, largest first."""
-    fill = lambda b: sum(lengths[i] for i in b)
-    good = [b for b in theirs if fill(b) >= 0.99 * capacity] or [max(theirs, key=fill)]
+    """theirs' well-filled bins, whole, into mine; what they displace trades places with what fills poor bins better,
+    and the rest is best-fitted, largest first."""
+    fills = [sum([lengths[i] for i in b]) for b in theirs]
+    good = [b for b, f in zip(theirs, fills) if f == capacity]
+    if not good:
+        least = sorted(fills)[len(fills) * 2 // 3]
+        good = [b for b, f in zip(theirs, fills) if f >= least]
     injected = r.sample(good, max(1, len(good) // 2))
     taken = {i for b in injected for i in b}
-    kept, displaced = [], []
+    kept, poor, displaced = [], [], []
     for b in mine:
-        if any(i in taken for i in b):
+        if not taken.isdisjoint(b):
             displaced += [i for i in b if i not in taken]
-        elif fill(b) < 0.99 * capacity and r.random() < 0.5:  # a poor bin is opened, too
+            continue
+        room = capacity - sum([lengths[i] for i in b])
+        if room and r.random() < 0.3:  # a poor bin is opened, too
             displaced += b
+        elif room:
+            poor.append((list(b), room))
         else:
             kept.append(b)
-    displaced.sort(key=lambda i: (-lengths[i], i))
-    return best_fit(displaced, lengths, capacity, [list(b) for b in injected] + [list(b) for b in kept])
+    loose = sorted((lengths[i], i) for i in displaced)
+    for b, room in poor:
+        trade(b, room, loose, lengths)
+    return best_fit([i for _, i in reversed(loose)], lengths, capacity, [list(b) for b in injected + kept] + [b for b, _ in poor])
+
 
+@dataclass
+class Island:
+    """What an island found: the best packing, the plain best fit's bins, and how many children were born and stayed."""
 
-def evolve(lengths: list[int], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION, immigrants: list[Bins] = ()) -> Bins:
-    """The best packing that one island finds."""
+    bins: Bins
+    plain: int
+    children: int = 0
+    stayed: int = 0
+
+
+def evolve(lengths: list[int], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION, immigrants: list[Bins] = ()) -> Island:
     r = random.Random(seed)
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    solutions = [best_fit(order, lengths, capacity), *([list(b) for b in x] for x in immigrants)]
-    bound = -(-sum(lengths) // capacity)
-    while len(solutions) < population:
-        loose = sorted(order, key=lambda i: -lengths[i] * r.uniform(0.9, 1.1))
-        solutions.append(best_fit(loose, lengths, capacity))
+    plain, goal = best_fit(order, lengths, capacity), ideal(lengths, capacity)
+    found = Island(plain, len(plain))
     score = lambda x: fitness(x, lengths, capacity)
-    solutions.sort(key=score, reverse=True)
-    for _ in range(generations):
-        if len(solutions[0]) <= bound:
+    solutions = sorted(((score(x), x) for x in (plain, *([list(b) for b in x] for x in immigrants))), key=lambda x: x[0], reverse=True)
+    if solutions[0][0] >= goal:
+        found.bins = solutions[0][1]
+        return found
+    while len(solutions) < population:
+        # from nearly by length to any order
+        spread = (0.1, 0.4, 1.0)[len(solutions) % 3]
+        loose = sorted(order, key=lambda i: -lengths[i] * r.uniform(1 - spread, 1 + spread))
+        one = best_fit(loose, lengths, capacity)
+        solutions.append((score(one), one))
+    solutions.sort(key=lambda x: x[0], reverse=True)
+    for _ in range(generations * population):
+        if solutions[0][0] >= goal:
             break
-        one, two = r.sample(solutions, 2)
-        child = crossover(one, two, lengths, capacity, r)
-        if score(child) > score(solutions[-1]):
-            solutions[-1] = child
-            solutions.sort(key=score, reverse=True)
-    return solutions[0]
+        # the better of two for each parent
+        one, two = (min(r.sample(range(len(solutions)), 2)) for _ in range(2))
+        if one == two:
+            two = (one + 1) % len(solutions)
+        child = crossover(solutions[one][1], solutions[two][1], lengths, capacity, r)
+        found.children += 1
+        new = score(child)
+        if new > solutions[-1][0] and all(new != x for x, _ in solutions):
+            found.stayed += 1
+            solutions[-1] = new, child
+            solutions.sort(key=lambda x: x[0], reverse=True)
+    found.bins = solutions[0][1]
+    return found
 
 
 def _encode(path: str, capacity: int):
@@ -108,13 +176,14 @@ def _encode(path: str, capacity: int):
     def run(batches):
         tokens = word_tokens.shared(path)
         for batch in frames.parts(batches):
-            rows, found = [], []
-            for at in range(0, batch.num_rows, 100):
-                found += tokens.encode_texts([t or "" for t in batch.column(1).slice(at, 100).to_pylist()])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), found):
-                ids += closing
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            rows = []
+            names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            ids, bounds = tokens.encode([t or b"" for t in texts])
+            data = ids.tobytes()
+            for doc_id, first, last in zip(names, bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = data[4 * first : 4 * last] + closing
+                for piece, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=schema)
 
@@ -129,32 +198,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return frames.documents(docs).mapInArrow(_encode(path, capacity), PIECES)
 
 
-def _seed(*parts: int) -> int:
-    return zlib.crc32(repr(parts).encode())
-
-
-def _first_epoch(level: int, capacity: int):
-    def run(key, table):
-        problem, island = key
-        table = table.sort_values(["doc_id", "piece", "no"], ignore_index=True)
-        bins = evolve(table["length"].tolist(), capacity, _seed(level, problem, island, 0))
-        return _solution(table, bins, capacity, problem, island)
-
-    return run
-
-
-def _solution(table: pd.DataFrame, bins: Bins, capacity: int, problem: int, island: int) -> pd.DataFrame:
+def _solution(table: pd.DataFrame, found: Island, capacity: int, problem: int, island: int) -> pd.DataFrame:
     where = np.empty(len(table), dtype=np.int64)
-    for n, b in enumerate(bins):
+    for n, b in enumerate(found.bins):
         where[b] = n
     table["bin"], table["problem"], table["island"] = where, problem, island
-    table["fewer"], table["uneven"] = fitness(bins, table["length"].tolist(), capacity)
+    table["fewer"], table["uneven"] = fitness(found.bins, table["length"].tolist(), capacity)
+    table["plain"], table["children"], table["stayed"] = found.plain, found.children, found.stayed
     return table
 
 
-def _next_epoch(level: int, epoch: int, capacity: int):
+def _epoch(level: int, epoch: int, capacity: int):
     def run(key, table):
-        """The island's own elite (home) and its neighbour's, over the same pieces."""
+        """The island's own elite (home) and its neighbour's, if there are any yet, over the same pieces."""
         problem, island = key
         table = table.sort_values(["home", "doc_id", "piece", "no"], ignore_index=True)
         elites = []
@@ -164,50 +220,54 @@ def _next_epoch(level: int, epoch: int, capacity: int):
                 bins.setdefault(b, []).append(i)
             elites.append(list(bins.values()))
         one = table[table["home"] == table["home"].iloc[0]].drop(columns="home").reset_index(drop=True)
-        bins = evolve(one["length"].tolist(), capacity, _seed(level, problem, island, epoch), immigrants=elites)
-        return _solution(one, bins, capacity, problem, island)
+        found = evolve(one["length"].tolist(), capacity, zlib.crc32(repr((level, problem, island, epoch)).encode()), immigrants=elites if epoch else ())
+        return _solution(one, found, capacity, problem, island)
 
     return run
 
 
-_ITEM = PIECES + ", no long"
-_SOLVED = _ITEM + ", problem int, island int, bin long, fewer long, uneven double"
+_SOLVED = PIECES + ", no long, problem int, island int, bin long, fewer long, uneven double, plain long, children long, stayed long"
 
 
 def _solve(items: DataFrame, n: int, level: int, capacity: int, name: str) -> DataFrame:
-    """items(PIECES, no) with problem and bin, best of all islands; n pieces."""
+    """items(PIECES, no) with problem and bin, best of all islands, and how that was found; n pieces."""
     problems = max(1, math.ceil(n / PROBLEM))
     dealt = items.withColumn("problem", F.pmod(F.xxhash64("no", F.lit(level)), F.lit(problems)).cast("int"))
-    islands = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
-    keep = [*items.columns, "problem", "island"]
-    solved = scratch.materialise(islands.select(keep).groupBy("problem", "island").applyInPandas(_first_epoch(level, capacity), _SOLVED), f"{name}-epoch")
-    for epoch in range(1, EPOCHS):
-        own = solved.withColumn("home", F.col("island"))
-        moved = own.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int"))
-        solved = scratch.materialise(own.union(moved).groupBy("problem", "island").applyInPandas(_next_epoch(level, epoch, capacity), _SOLVED), f"{name}-epoch")
+    solved = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).withColumn("bin", F.lit(0).cast("long"))
+    own = [*items.columns, "problem", "island", "bin"]
+    for epoch in range(EPOCHS):
+        arrived = solved.select(*own, F.col("island").alias("home"))
+        if epoch:
+            arrived = arrived.union(arrived.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")))
+        solved = scratch.materialise(arrived.groupBy("problem", "island").applyInPandas(_epoch(level, epoch, capacity), _SOLVED), f"{name}-epoch")
     best = solved.groupBy("problem").agg(F.max(F.struct("fewer", "uneven", (-F.col("island")).alias("island"))).alias("best"))
-    return solved.join(best.select("problem", (-F.col("best.island")).alias("island")), ["problem", "island"]).select(*items.columns, "problem", "bin")
+    return solved.join(best.select("problem", (-F.col("best.island")).alias("island")), ["problem", "island"]).select(*items.columns, "problem", "bin", "plain", "fewer", "children", "stayed")
 
 
-def pack(table: DataFrame, capacity: int = CAPACITY, name: str = "pack") -> DataFrame:
-    """table(PIECES) with sequence_id and offset; every length is between 1 and capacity."""
+def pack(table: DataFrame, capacity: int = CAPACITY, name: str = "pack", report: list | None = None) -> DataFrame:
+    """table(PIECES) with sequence_id and offset; every length is between 1 and capacity. report, if given, receives
+    for each level the pieces, problems, bins by plain best fit, bins found, and children born and kept in the last
+    epoch of the islands that decided."""
     items = scratch.materialise(table.withColumn("no", F.monotonically_increasing_id()), f"{name}-pieces")
     done = [items.where(F.col("length") >= capacity).select(*items.columns, F.concat(F.lit("f-"), F.col("no")).alias("sequence"))]
-    rest, level, last = items.where(F.col("length") < capacity), 0, None
-    while True:
+    rest = items.where(F.col("length") < capacity)
+    for level in range(LEVELS):
         n = rest.count()
         if not n:
             break
         solved = scratch.materialise(_solve(rest, n, level, capacity, name), f"{name}-solved")
+        if report is not None:
+            each = solved.groupBy("problem").agg(*[F.first(c).alias(c) for c in ("plain", "fewer", "children", "stayed")])
+            report.append((n, *each.agg(F.count(F.lit(1)), F.sum("plain"), -F.sum("fewer"), F.sum("children"), F.sum("stayed")).first()))
         fills = solved.groupBy("problem", "bin").agg(F.sum("length").alias("fill"))
-        poor = fills.where(F.col("fill") < FULL * capacity).select("problem", "bin")
+        poor = fills.where(F.col("fill") < (1 - ROOM) * capacity)
+        bins, filled = poor.agg(F.count(F.lit(1)), F.sum("fill")).first()
         named = solved.withColumn("sequence", F.concat_ws("-", F.lit(level), "problem", "bin"))
-        # one problem is left, or opening the poor bins would hardly shrink the rest
-        if n <= PROBLEM or (last is not None and n > 0.7 * last):
+        if n <= PROBLEM or level == LEVELS - 1 or bins <= math.ceil((filled or 0) / capacity):
             done.append(named.select(*items.columns, "sequence"))
             break
-        done.append(named.join(poor, ["problem", "bin"], "left_anti").select(*items.columns, "sequence"))
-        rest, level, last = solved.join(poor, ["problem", "bin"], "left_semi").select(*items.columns), level + 1, n
+        done.append(named.join(poor.select("problem", "bin"), ["problem", "bin"], "left_anti").select(*items.columns, "sequence"))
+        rest = solved.join(poor.select("problem", "bin"), ["problem", "bin"], "left_semi").select(*items.columns)
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
