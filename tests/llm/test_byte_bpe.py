@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,24 @@ def test_ids_match_the_library(both):
         assert own.decode(got) == text.encode()
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "theraining", "abcdefghijklmnopqrstuvwxyz", " ", "=-"])
+def test_long_matches(both, letters):
+    own, library = both
+    r = random.Random(len(letters))
+    for n in (500, 20_000):
+        text = "".join(r.choices(letters, k=n))
+        assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_a_megabyte_in_one_match(both):
+    own, _ = both
+    r = random.Random(2)
+    text = "".join(r.choices(["the", "ing", "er", "a", "st", "on"], k=500_000))
+    began = time.time()
+    got = own.encode_batch([text])[0]
+    assert own.decode(got) == text.encode() and time.time() - began < 120
+
+
 def test_small_memory_and_matrices(both, monkeypatch):
     own, library = both
     monkeypatch.setattr(own.cache, "limit", 10)
@@ -45,12 +64,12 @@ def test_pair_table(both):
 
 def test_query(spark, both):
     _, library = both
-    rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 1), (99, None, 1)]
+    rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 1), (99, None, 1), (None, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
-    got = sorted(tuple(x) for x in B.round_trips(df, PATH, public_tokenizers.PATTERN).collect())
+    got = sorted((tuple(x) for x in B.round_trips(df, PATH, public_tokenizers.PATTERN).collect()), key=str)
     sha = lambda x: hashlib.sha256(x).hexdigest()
     ids = [library.encode_ordinary(t or "") for _, t, _ in rows]
-    assert got == sorted((r[0], len(x), sha(np.array(x, "<u4").tobytes()), sha((r[1] or "").encode())) for r, x in zip(rows, ids))
+    assert got == sorted(((r[0], len(x), sha(np.array(x, "<u4").tobytes()), sha((r[1] or "").encode())) for r, x in zip(rows, ids)), key=str)
     back = B.decoded(B.encoded(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()
-    assert sorted((x.doc_id, x.text) for x in back) == sorted((r[0], r[1] or "") for r in rows)
+    assert sorted(((x.doc_id, x.text) for x in back), key=str) == sorted(((r[0], r[1] or "") for r in rows), key=str)
     assert B.round_trips(df.where("false"), PATH, public_tokenizers.PATTERN).collect() == []

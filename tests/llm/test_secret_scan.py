@@ -29,7 +29,7 @@ def kinds(text):
 
 def test_confirmed():
     assert S.is_der_key(RSA) and S.is_der_key(PKCS8) and S.is_der_key(EC)
-    for data, kind in ((RSA, "der"), (PKCS8, "der"), (EC, "der"), (SSH, "sshkey"), (OPENSSH, "openssh")):
+    for data, kind in ((RSA, "der"), (PKCS8, "der"), (EC, "der"), (OPENSSH, "openssh")):
         assert kinds(f"x {B64(data)} y") == [kind]
         assert kinds(f"x {data.hex()} y") == [kind]
         assert kinds(f"x {B64(data[:-1])} y") == []  # the nested lengths no longer fit
@@ -54,7 +54,7 @@ def test_token_before_punctuation():
 
 def test_keys_over_lines():
     """Real and literal line breaks, with and without BEGIN and END."""
-    for data, kind in ((RSA, "der"), (OPENSSH, "openssh"), (LOCKED, "openssh"), (FIELD(b"ssh-rsa") + FIELD(b"\1\0\1") + FIELD(b"m" * 257), "sshkey")):
+    for data, kind in ((RSA, "der"), (OPENSSH, "openssh"), (LOCKED, "openssh")):
         for width in (64, 76):
             lines = re.findall(f".{{1,{width}}}", B64(data))
             for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
@@ -102,3 +102,20 @@ def test_redact(spark):
     rows = [(1, text, "en", "s", len(text)), (2, None, None, None, None), (3, "", "en", "s", 0)]
     got = {r.doc_id: r for r in S.redacted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
     assert got[1].text == "a [assign+hex] b" and got[1].n_chars == 16 and got[2].text is None and got[3].n_chars == 0
+
+
+def test_public_keys_are_no_secrets():
+    der = lambda tag, body: bytes([tag, 0x82]) + len(body).to_bytes(2, "big") + body if len(body) > 127 else bytes([tag, len(body)]) + body
+    rsa = der(0x30, der(2, b"\1" + b"n" * 128) + der(2, b"\1\0\1"))
+    spki = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d010101")) + b"\5\0") + der(3, b"\0" + rsa))
+    ssh = FIELD(b"ssh-rsa") + FIELD(b"\1\0\1") + FIELD(b"m" * 257)
+    for data in (rsa, spki, ssh, SSH):
+        body = base64.b64encode(data).decode()
+        for text in (body, f"ssh-rsa {body} me@there", f"-----BEGIN PUBLIC KEY-----\n{body}\n-----END PUBLIC KEY-----"):
+            assert not [x for x in S.find(text) if x.kind not in S.BASE]
+
+
+def test_null_ids_and_names(spark):
+    rows = [(None, "password=abcdefabcdef"), (1, None), (1, "x"), (None, "")]
+    got = S.scan(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, spans string")).collect()
+    assert sorted((r.doc_id or 0, r.n_assign) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 0)]

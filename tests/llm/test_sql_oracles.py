@@ -1,3 +1,5 @@
+import pathlib
+
 import duckdb
 import pytest
 
@@ -38,8 +40,8 @@ def test_licences_in_other_spellings(spark):
         (8, "x", None),
     ]
     got = license_scan.scan(spark.createDataFrame([(i, t, "n") for i, t, _ in cases] + [(None, mit, "n")], "doc_id long, text string, license string")).collect()
-    assert sorted((r.doc_id, r.license) for r in got if r.license) == [(i, n) for i, _, n in cases if n]
-    assert {r.notices for r in got if r.doc_id == 7} == {"Apache-2.0,MIT"} and len(got) == 9
+    assert sorted((r.doc_id or 0, r.license) for r in got if r.license) == [(0, "MIT"), *[(i, n) for i, _, n in cases if n]]
+    assert {r.notices for r in got if r.doc_id == 7} == {"Apache-2.0,MIT"} and len(got) == 10
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     digests = [r.text_digest for r in license_scan.known(spark).collect()]
     assert len(digests) == len(set(digests))
@@ -64,3 +66,26 @@ def test_prefix_keeps_the_case_of_its_path(spark):
     rows = [(1, "http://EXAMPLE.org/Docs/x", 5), (2, "http://example.org/docs/x", 5), (3, "http://example.org/Docs", 15)]
     got = url_filter.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetched long"), url_filter.entries(spark, dated)).collect()
     assert {r.page_id: r.matches for r in got} == {1: "a:prefix:example.org/Docs", 2: "", 3: "a:prefix:example.org/Docs,b:domain:example.org"}
+
+
+FOLDER = pathlib.Path("/usr/share/common-licenses")
+FILES = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+
+
+def test_known_texts_planted_among_documents(spark):
+    """Whole texts, as published and in other spellings, among documents that only hold or quote them."""
+    plain = [(name, f"{title}\n\nCopyright (c) 1999 Someone\n\n{body}") for name, (title, body) in license_texts.LICENSES.items()]
+    plain += [(name, (FOLDER / file).read_text()) for file, name in FILES.items() if (FOLDER / file).exists()]
+    rows = []
+    for i, (name, text) in enumerate(plain):
+        rows += [(10 * i, text, name), (10 * i + 1, text.upper().replace("\n", "\r\n"), name), (10 * i + 2, text.replace(",", " ,").replace("license", "licence"), name), (10 * i + 3, f"{text}\nmore", None), (10 * i + 4, text[:-40], None)]
+    got = license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == {i: n for i, _, n in rows}
+
+
+def test_prefixes(spark):
+    """Closing slashes, whole hosts, cases, and a hostile URL of very many parts."""
+    dated = [("a", "prefix", "c.com/x/", "add", 0), ("b", "prefix", "C.com/X", "add", 0), ("c", "prefix", "d.com/", "add", 0), ("d", "prefix", "d.com", "add", 0), ("e", "prefix", "c.com/x/y//", "add", 0)]
+    cases = [(1, "http://c.com/x", "a:prefix:c.com/x"), (2, "http://C.com/X/y", "b:prefix:c.com/X"), (3, "http://c.com/x/y/z?q", "a:prefix:c.com/x,e:prefix:c.com/x/y"), (4, "http://c.com/xx", ""), (5, "http://d.com", "c:prefix:d.com,d:prefix:d.com"), (6, "http://d.com/", "c:prefix:d.com,d:prefix:d.com"), (7, "http://c.com/x/" + "a/" * 100_000, "a:prefix:c.com/x"), (8, "http://" + "h." * 50_000 + "d.com/q", "")]
+    got = url_filter.filter_captures(spark.createDataFrame([(i, u, 5) for i, u, _ in cases], "page_id long, url string, fetched long"), url_filter.entries(spark, dated)).collect()
+    assert {r.page_id: r.matches for r in got} == {i: m for i, _, m in cases}

@@ -4,6 +4,8 @@ Texts are cut into chunks (white space and what follows) and chunks into the pat
 yet known are put, as byte ids, into matrices of similar length padded at the end. In each round every row finds
 its leftmost pair of minimum rank, merges it and closes the gap; the two new neighbours' ranks come from a hash
 table over pairs. Rows without a mergeable pair leave their matrix (compaction), which loses one column a round.
+A row alone in its matrix, such as a very long match, merges all places of its minimum pair in one round, up to the
+first whose merge makes a pair of lower rank: that is what merging the leftmost one by one comes to.
 A pair's rank is the rank of its joined bytes, so the table holds every split of every vocabulary entry.
 
 Ids are the ranks themselves. No text gives a special token. Results: one row per document. A null text counts
@@ -99,17 +101,16 @@ class ByteBpe:
                 rows, ids, rank, best, value = rows[stay], ids[stay], rank[stay], best[stay], value[stay]
                 if not len(rows):
                     return
+            if len(rows) == 1:
+                ids, rank = self._merge_all(ids[0], rank[0], int(value[0]))
+                if not rank.shape[1]:
+                    out[rows[0]] = ids[0][ids[0] >= 0].copy()
+                    return
+                continue
             n = np.arange(len(rows))
-            if len(rows) == 1:  # one long row: move its tail in place
-                j = int(best[0])
-                ids[0, j] = value[0]
-                ids[0, j + 1 : -1] = ids[0, j + 2 :]
-                rank[0, j:-1] = rank[0, j + 1 :]
-                ids, rank = ids[:, :-1], rank[:, :-1]
-            else:
-                ids[n, best] = value
-                ids = ids[np.arange(ids.shape[1]) != (best + 1)[:, None]].reshape(len(rows), -1)
-                rank = rank[np.arange(rank.shape[1]) != best[:, None]].reshape(len(rows), -1)
+            ids[n, best] = value
+            ids = ids[np.arange(ids.shape[1]) != (best + 1)[:, None]].reshape(len(rows), -1)
+            rank = rank[np.arange(rank.shape[1]) != best[:, None]].reshape(len(rows), -1)
             if not rank.shape[1]:
                 for i, row in zip(rows.tolist(), ids):
                     out[i] = row[row >= 0].copy()
@@ -119,6 +120,29 @@ class ByteBpe:
             inner = best > 0
             rank[n[inner], best[inner] - 1] = self.table.find(ids[n[inner], best[inner] - 1], ids[n[inner], best[inner]])
 
+    def _merge_all(self, ids: np.ndarray, rank: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """One row after a round: its pairs of rank `least` merged from the left, overlapping ones once, up to the first
+        whose merge makes a pair of lower rank with a neighbour."""
+        at = np.flatnonzero(rank == least)
+        run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])  # of overlapping places every other one
+        at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+        behind = np.concatenate([[False], np.diff(at) == 2])  # the left neighbour has just been merged, too
+        left = np.where(behind, least, ids[at - 1])
+        left[at == 0] = -1
+        lower = (self.table.find(left, np.full(len(at), least)) < least) | (self.table.find(np.full(len(at), least), ids[at + 2 - (at + 2 == len(ids))]) < least)
+        if lower.any():
+            at = at[: int(lower.argmax()) + 1]
+        keep = np.ones(len(ids), dtype=bool)
+        keep[at + 1] = False
+        ids = ids.copy()
+        ids[at] = least
+        ids, places = ids[keep], at - np.arange(len(at))
+        rank = np.delete(rank, at)
+        for side in (places, places[places > 0] - 1):
+            side = side[side < len(rank)]
+            rank[side] = self.table.find(ids[side], ids[side + 1])
+        return ids[None, :], rank[None, :]
+
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pattern.findall(c) for c in chunks]
         pieces = [p.encode() for parts in split for p in parts]

@@ -2,12 +2,12 @@
 
 A text is put into canonical form (lower case, no copyright lines, one spelling of equivalent words, no
 punctuation, single spaces), hashed, and joined with the digests of the known licences. The known table is fixed
-in license_texts, some tens of rows, so it is broadcast. Each line of a text is looked up among the known one-line
+in license_texts, some tens of rows of texts or of digests, so it is broadcast. Each line of a text is looked up among the known one-line
 notices in the same way; their digests are constants of the plan.
 
-Results: one row per document. A null text counts as empty; an empty canonical text has a digest but is no licence.
-Rows with a null id take no part; repeated ids and texts are ordinary rows; an empty table gives no row; other
-columns are ignored.
+Results: one row per row of the table. A null text counts as empty; an empty canonical text has a digest but is no
+licence. Null and repeated ids and repeated texts are ordinary rows; an empty table gives no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames
-from .license_texts import EQUIVALENT, LICENSES, NOTICES
+from .license_texts import DIGESTS, EQUIVALENT, LICENSES, NOTICES
 
 #: A line that opens with a copyright mark and a year, a holder or a second mark.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9<\[{:]|by )[^\n]*"
@@ -50,7 +50,9 @@ def known_texts() -> list[tuple[str, str]]:
 def known(spark: SparkSession) -> DataFrame:
     """license and digest of every known text."""
     rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("known")) for name, text in known_texts()])
-    return spark.range(1).select(F.inline(rows)).select("license", digest(one_line(canonical_lines(F.col("known")))).alias("text_digest"))
+    digests = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(x).alias("text_digest")) for name, x in DIGESTS.items()])
+    one = spark.range(1)
+    return one.select(F.inline(rows)).select("license", digest(one_line(canonical_lines(F.col("known")))).alias("text_digest")).union(one.select(F.inline(digests)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -79,12 +81,13 @@ def oracle(table: str = "documents") -> str:
     values = lambda rows: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in rows)
     notices = [(name, text) for name, texts in NOTICES.items() for text in texts]
     return f"""
-with known as (select name, sha256({line(canonical('body'))}) as digest from (values {values(known_texts())}) v(name, body)),
+with known as (select name, sha256({line(canonical('body'))}) as digest from (values {values(known_texts())}) v(name, body)
+  union all select * from (values {values(DIGESTS.items())}) v(name, digest)),
 notice as (select name, sha256({line(canonical('body'))}) as digest from (values {values(notices)}) v(name, body)),
-d as (select doc_id, {canonical("coalesce(text, '')")} as lines from {table} where doc_id is not null),
-l as (select distinct doc_id, name from (select doc_id, unnest(string_split(lines, chr(10))) as line from d) x join notice on digest = sha256(trim(line))),
-n as (select doc_id, string_agg(name, ',' order by name) as notices from l group by doc_id),
-w as (select doc_id, sha256({line('lines')}) as text_digest, len(string_split(lines, chr(10)))::bigint as n_lines from d)
+d as (select row_number() over () as r, doc_id, {canonical("coalesce(text, '')")} as lines from {table}),
+l as (select distinct r, name from (select r, unnest(string_split(lines, chr(10))) as line from d) x join notice on digest = sha256(trim(line))),
+n as (select r, string_agg(name, ',' order by name) as notices from l group by r),
+w as (select r, doc_id, sha256({line('lines')}) as text_digest, len(string_split(lines, chr(10)))::bigint as n_lines from d)
 select w.doc_id, text_digest, known.name as license, coalesce(notices, '') as notices, n_lines
-from w left join known on digest = text_digest left join n on n.doc_id = w.doc_id
+from w left join known on digest = text_digest left join n on n.r = w.r
 """

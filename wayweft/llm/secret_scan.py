@@ -2,15 +2,18 @@
 
 Three base kinds are found by their patterns alone: assign, access and hex. The further kinds are reported
 only after a candidate has been decoded and parsed: a signed-token header (jwt), a DER key encoding whose
-nested lengths all fit (der), an OpenSSH private key or public key blob whose length-prefixed fields fit
-(openssh, sshkey). A candidate is a base64, base64url or hexadecimal run; a PEM body counts as one run over
+nested lengths all fit (der), or an OpenSSH private key whose length-prefixed fields fit (openssh). Public keys
+are no secrets and are not reported. A candidate is a base64, base64url or hexadecimal run; a PEM body counts as one run over
 its lines, and so do base64 lines of one width, at least 20, with a shorter or equal last one. A line may
 end in a literal backslash-n.
 
 Spans are code points, end exclusive; spans of one kind do not overlap, those of different kinds may.
 
-Results: one row per document. A null text counts as empty and has no span; rows with a null id take no
-part; repeated ids and texts are ordinary rows; an empty table gives no row; other columns are ignored.
+Hexadecimal keys are recognised as one run of whole bytes: of odd length, or parted by colons or spaces, they are
+not decoded (their parts of 16 and more lower-case digits are base spans all the same).
+
+Results: one row per row of the table. A null text counts as empty and has no span; null and repeated ids and
+repeated texts are ordinary rows; an empty table gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "sshkey")
+KINDS = ("assign", "access", "hex", "jwt", "der", "openssh")
 BASE = KINDS[:3]
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -50,8 +53,8 @@ _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201",
 #: First fields of an SSH public key blob.
 _SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
-#: First bytes of the three kinds of keys.
-_OPENINGS = (b"\x30", b"openssh-key-v1\0", *(len(x).to_bytes(4, "big") + x for x in _SSH_NAMES))
+#: First bytes of the two kinds of keys.
+_OPENINGS = (b"\x30", b"openssh-key-v1\0")
 
 
 @dataclass(frozen=True)
@@ -96,7 +99,7 @@ def der_fields(data: bytes, start: int = 0, end: int | None = None) -> list[tupl
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1 and SEC 1 private keys, PKCS#8 private keys (encrypted ones too), subject public keys."""
+    """PKCS#1 and SEC 1 private keys and PKCS#8 private keys (encrypted ones too)."""
     top = der_fields(data)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
@@ -105,11 +108,11 @@ def is_der_key(data: bytes) -> bool:
         return False
     tags = [t for t, _, _ in fields]
     value = lambda i: data[fields[i][1] : fields[i][2]]
-    if tags == [2] * len(tags) and len(tags) in (2, 9):  # RSA: modulus and exponent, or a version and eight numbers
-        return fields[-9 if len(tags) == 9 else 0][2] - fields[0][1] >= 1 and sum(b - a for _, a, b in fields) >= 32
+    if tags == [2] * 9:  # RSA: a version and eight numbers
+        return sum(b - a for _, a, b in fields) >= 32
     if tags[:2] == [2, 4] and value(0) == b"\x01" and len(value(1)) in (20, 24, 28, 32, 48, 66):  # EC private key
         return True
-    at = 1 if tags[:1] == [2] else 0
+    at = 1 if tags[:1] == [2] else 0  # PKCS#8 has a version first, its encrypted form has not
     if tags[at : at + 1] != [0x30]:
         return False
     inner = der_fields(data, *fields[at][1:])
@@ -118,8 +121,6 @@ def is_der_key(data: bytes) -> bool:
     oid = data[inner[0][1] : inner[0][2]]
     if at == 1:
         return oid in _KEY_OIDS and tags[2:3] == [4]
-    if tags[1:] == [3]:
-        return oid in _KEY_OIDS
     return tags[1:] == [4] and oid.startswith(bytes.fromhex("2a864886f70d01050d"))  # encrypted, PBES2
 
 
@@ -170,7 +171,7 @@ def is_signed_token(header: str, payload: str) -> bool:
 def _kind_of(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "der" if is_der_key(data) else "openssh" if is_openssh_private(data) else "sshkey" if is_ssh_blob(data) else None
+    return "der" if is_der_key(data) else "openssh" if is_openssh_private(data) else None
 
 
 def _key_sizes(data: bytes) -> set[int]:
@@ -184,7 +185,7 @@ def _key_sizes(data: bytes) -> set[int]:
         for _ in range(3):
             at += 4 + int.from_bytes(data[at : at + 4], "big")
         at += 4
-    elif not data.startswith(_OPENINGS[2:]):
+    else:
         return set()
     sizes = set()
     while at + 4 <= len(data):
