@@ -42,7 +42,7 @@ GROUPS = (2, 6, 12, 22)
 #: Rounds with some members of a bucket's largest component, and about how many these are.
 ROUNDS, SPOKESMEN = 2, 6
 #: Members outside it that are compared pair by pair; more are compared in blocks of about so many hashes.
-FEW, ITEMS = 12, 500_000
+FEW, ITEMS = 12, 100_000
 #: Shares into which the rows of a group of several blocks are dealt when blocks are numbered.
 SALTS = 32
 
