@@ -31,32 +31,42 @@ def roads(ways: DataFrame) -> DataFrame:
     return named.select(F.col("pos").alias("road"), F.col("tags")["name"].alias("street"), F.posexplode(geo.edges_of(F.col("pts"), closed=False)).alias("at", "e")).select("road", "at", "street", F.col("e.p.lon").alias("x1"), F.col("e.p.lat").alias("y1"), F.col("e.q.lon").alias("x2"), F.col("e.q.lat").alias("y2"))
 
 
-def _row(lat) -> Column:
-    return F.floor(geo.c(lat) * METRES_PER_DEGREE / STREET_RADIUS_M).cast("long")
+#: Cells of the street join are so many radii wide.
+CELL_RADII = 4
 
 
-def _col(lon: Column, row: Column) -> Column:
-    """Cells of a row are as wide as the radius at its latitude of least width, and a little more."""
-    widest = F.least(F.lit(89.0), (F.abs(row) + 2) * STREET_RADIUS_M / METRES_PER_DEGREE)
-    return F.floor(lon * METRES_PER_DEGREE * F.cos(F.radians(widest)) / STREET_RADIUS_M).cast("long")
+def _row(lat, cell: float) -> Column:
+    return F.floor(geo.c(lat) * METRES_PER_DEGREE / cell).cast("long")
+
+
+def _across(lon, row: Column, cell: float) -> Column:
+    """Longitude in cells of a row, which are at least as wide as high everywhere in the row."""
+    widest = F.least(F.lit(89.0), (F.abs(row) + 2) * cell / METRES_PER_DEGREE)
+    return geo.c(lon) * METRES_PER_DEGREE * F.cos(F.radians(widest)) / cell
 
 
 def nearest_street(pois: DataFrame, segments: DataFrame, radius: float = STREET_RADIUS_M) -> DataFrame:
     """id and street of the nearest segment of pois(id, lon, lat) within the radius; the first in the file wins a tie.
 
-    Segments, cut into short steps, go to every cell within a radius of them; each poi looks at its own cell alone.
+    Segments, cut into steps of a cell's length, go once to every cell within a radius of them; each poi looks at its
+    own cell alone.
     """
-    reach = radius / METRES_PER_DEGREE
-    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / (8 * reach)).cast("int"))
-    cut = segments.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(1), "_n")))
-    on = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
-    t0, t1 = (F.col("_i") - 1) / F.col("_n"), F.col("_i") / F.col("_n")
-    cut = cut.withColumn("_xa", F.least(on("x1", "x2", t0), on("x1", "x2", t1))).withColumn("_xb", F.greatest(on("x1", "x2", t0), on("x1", "x2", t1))).withColumn("_ya", F.least(on("y1", "y2", t0), on("y1", "y2", t1))).withColumn("_yb", F.greatest(on("y1", "y2", t0), on("y1", "y2", t1)))
-    rows = cut.withColumn("gy", F.explode(F.sequence(_row(F.col("_ya") - reach), _row(F.col("_yb") + reach))))
-    cells = rows.withColumn("gx", F.explode(F.sequence(_col(F.col("_xa"), F.col("gy")) - 2, _col(F.col("_xb"), F.col("gy")) + 2)))
-    cells = cells.select("road", "at", "street", "x1", "y1", "x2", "y2", "gx", "gy").distinct()
-    placed = pois.select("id", "lon", "lat").withColumn("gy", _row("lat")).withColumn("gx", _col(F.col("lon"), F.col("gy")))
-    met = placed.join(cells, ["gx", "gy"]).withColumn("d", geo.point_segment_m("lon", "lat", "x1", "y1", "x2", "y2")).where(F.col("d") <= radius)
+    cell = CELL_RADII * radius
+    step, reach = cell / METRES_PER_DEGREE, radius / METRES_PER_DEGREE
+    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / step).cast("int"))
+
+    def touched(i: Column) -> Column:
+        on = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
+        ends = lambda a, b: (on(a, b, (i - 1) / steps), on(a, b, i / steps))
+        (xa, xb), (ya, yb) = ends("x1", "x2"), ends("y1", "y2")
+        across = lambda row: F.sequence(F.floor(_across(F.least(xa, xb), row, cell) - 1.01 / CELL_RADII), F.floor(_across(F.greatest(xa, xb), row, cell) + 1.01 / CELL_RADII))
+        rows = F.sequence(_row(F.least(ya, yb) - reach, cell), _row(F.greatest(ya, yb) + reach, cell))
+        return F.flatten(F.transform(rows, lambda row: F.transform(across(row), lambda col: F.struct(col.alias("gx"), row.alias("gy")))))
+
+    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), steps), touched)))
+    dealt = segments.select("road", "at", "street", "x1", "y1", "x2", "y2", F.inline(cells))
+    placed = pois.select("id", "lon", "lat").withColumn("gy", _row("lat", cell)).withColumn("gx", F.floor(_across("lon", F.col("gy"), cell)))
+    met = placed.join(dealt, ["gx", "gy"]).withColumn("d", geo.point_segment_m("lon", "lat", "x1", "y1", "x2", "y2")).where(F.col("d") <= radius)
     return met.groupBy("id").agg(F.min_by("street", F.struct("d", "road", "at")).alias("street"))
 
 
@@ -162,24 +172,51 @@ def relation_shapes(relations: DataFrame, ways: DataFrame, points: DataFrame) ->
     return rings.union(shores).union(none)
 
 
-def features(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
-    """The contract table of the scans in sources.osm, in the order of osm_id and kind."""
+_POI = ["osm_id", "name", "category", "importance", "tier", "salience", "tags", "lon", "lat"]
+
+
+def poi_rows(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The points of interest of nodes and of ways(id, tags, pts), before streets and merging."""
     tag = classify.tags_of()
-    points = tables.materialise(node_points(nodes), "node-points")
-    lines = tables.materialise(way_points(ways.withColumn("key", F.col("pos")), points).drop("key"), "way-points")
-    segments = roads(lines)
-    at = lambda pt: (pt["lon"].alias("lon"), pt["lat"].alias("lat"))
-    columns = ["osm_id", "name", "category", "importance", "tier", "salience", "tags", "lon", "lat"]
-    poi_nodes = classify.classified(nodes, tag).withColumn("osm_id", F.concat(F.lit("n"), "id")).select(columns)
+    of_nodes = classify.classified(nodes, tag).withColumn("osm_id", F.concat(F.lit("n"), "id")).select(_POI)
     hall = classify.is_campus_hall("category") & (geo.footprint_m2(F.col("pts")) > 0)
-    poi_ways = classify.classified(lines, tag).where("size(pts) > 0").withColumn("osm_id", F.concat(F.lit("w"), "id"))
-    poi_ways = poi_ways.withColumn("importance", F.when(hall, F.least(F.lit(100), F.col("importance") + classify.area_bonus(geo.footprint_m2(F.col("pts"))))).otherwise(F.col("importance")))
-    poi_ways = poi_ways.select("*", geo.representative_point(F.col("pts")).alias("pt")).select(*columns[:-2], *at(F.col("pt")))
-    pois = tables.materialise(poi_nodes.union(poi_ways).withColumn("id", F.monotonically_increasing_id()), "pois")
+    of_ways = classify.classified(lines, tag).where("size(pts) > 0").withColumn("osm_id", F.concat(F.lit("w"), "id"))
+    of_ways = of_ways.withColumn("importance", F.when(hall, F.least(F.lit(100), F.col("importance") + classify.area_bonus(geo.footprint_m2(F.col("pts"))))).otherwise(F.col("importance")))
+    of_ways = of_ways.select("*", geo.representative_point(F.col("pts")).alias("pt")).select(*_POI[:-2], F.col("pt.lon").alias("lon"), F.col("pt.lat").alias("lat"))
+    return of_nodes.union(of_ways)
+
+
+def with_street(pois: DataFrame, segments: DataFrame) -> DataFrame:
+    """pois(id, tags, lon, lat, ...) with street and street_approx: the given one, else the nearest road's."""
     given = text.blank_to_null(F.col("tags")["addr:street"])
     snapped = nearest_street(pois.where(given.isNull()), segments)
-    pois = pois.join(snapped.withColumnRenamed("street", "_near"), "id", "left").withColumn("street", F.coalesce(given, "_near")).withColumn("street_approx", F.when(given.isNull() & F.col("_near").isNotNull(), F.lit(True)))
-    pois = merged(pois.withColumn("lon", geo.round7("lon")).withColumn("lat", geo.round7("lat")))
+    return pois.join(snapped.withColumnRenamed("street", "_near"), "id", "left").withColumn("street", F.coalesce(given, "_near")).withColumn("street_approx", F.when(given.isNull() & F.col("_near").isNotNull(), F.lit(True))).drop("_near")
+
+
+def place_rows(nodes: DataFrame) -> DataFrame:
+    """Named neighbourhoods and quarters, which are the anchors of districts."""
+    named = F.col("tags")["place"].isin(*classify.ANCHOR_PLACES) & F.map_contains_key("tags", F.lit("name"))
+    return nodes.where(named).select(F.col("tags")["name"].alias("name"), F.concat(F.lit("n"), "id").alias("osm_id"), F.lit("Point").alias("geom_type"), F.array(geo.point(geo.round7("lon"), geo.round7("lat"))).alias("pts"))
+
+
+def barrier_rows(lines: DataFrame) -> DataFrame:
+    label, kind = classify.barrier_of(classify.tags_of())
+    rows = lines.select(label.alias("name"), kind.alias("cls"), F.concat(F.lit("w"), "id").alias("osm_id"), F.lit("LineString").alias("geom_type"), "pts").where("cls is not null")
+    return rows.withColumn("pts", simplified_line("pts")).where("pts is not null")
+
+
+def area_rows(lines: DataFrame) -> DataFrame:
+    """Water and parks that are closed ways."""
+    rows = lines.select(classify.area_of(classify.tags_of()).alias("of"), F.col("tags")["name"].alias("name"), F.concat(F.lit("w"), "id").alias("osm_id"), F.lit("Polygon").alias("geom_type"), geo.closed_ring(F.col("pts")).alias("pts")).where("of is not null")
+    return rows.withColumn("pts", simplified_ring("pts")).where("pts is not null")
+
+
+def features(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """The contract table of the scans in sources.osm, in the order of osm_id and kind."""
+    points = tables.materialise(node_points(nodes), "node-points")
+    lines = tables.materialise(way_points(ways.withColumn("key", F.col("pos")), points).drop("key"), "way-points")
+    pois = tables.materialise(poi_rows(nodes, lines).withColumn("id", F.monotonically_increasing_id()), "pois")
+    pois = merged(with_street(pois, roads(lines)).withColumn("lon", geo.round7("lon")).withColumn("lat", geo.round7("lat")))
     void = lambda kind: F.lit(None).cast(kind)
 
     def flat(rows: DataFrame, kind, barrier_class=None) -> DataFrame:
@@ -188,16 +225,10 @@ def features(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFra
             (barrier_class if barrier_class is not None else void("string")).alias("barrier_class"), "geom_type", "pts",
         )
 
-    poi_rows = pois.select(F.lit("poi").alias("kind"), "name", "osm_id", "category", "importance", "tier", "salience", "street", "street_approx", void("string").alias("barrier_class"), F.lit("Point").alias("geom_type"), F.array(geo.point("lon", "lat")).alias("pts"))
-    named_place = F.col("tags")["place"].isin(*classify.ANCHOR_PLACES) & F.map_contains_key("tags", F.lit("name"))
-    places = nodes.where(named_place).select(F.col("tags")["name"].alias("name"), F.concat(F.lit("n"), "id").alias("osm_id"), F.lit("Point").alias("geom_type"), F.array(geo.point(geo.round7("lon"), geo.round7("lat"))).alias("pts"))
-    label, kind = classify.barrier_of(tag)
-    way_id = F.concat(F.lit("w"), "id").alias("osm_id")
-    barriers = lines.select(label.alias("name"), kind.alias("cls"), way_id, F.lit("LineString").alias("geom_type"), "pts").where("cls is not null").withColumn("pts", simplified_line("pts")).where("pts is not null")
-    areas = lines.select(classify.area_of(tag).alias("of"), F.col("tags")["name"].alias("name"), way_id, F.lit("Polygon").alias("geom_type"), geo.closed_ring(F.col("pts")).alias("pts")).where("of is not null").withColumn("pts", simplified_ring("pts")).where("pts is not null")
-    multi = relations.select("id", classify.area_of(tag).alias("kind"), F.col("tags")["name"].alias("name"), "members").where("kind is not null")
+    kept = pois.select(F.lit("poi").alias("kind"), "name", "osm_id", "category", "importance", "tier", "salience", "street", "street_approx", void("string").alias("barrier_class"), F.lit("Point").alias("geom_type"), F.array(geo.point("lon", "lat")).alias("pts"))
+    multi = relations.select("id", classify.area_of(classify.tags_of()).alias("kind"), F.col("tags")["name"].alias("name"), "members").where("kind is not null")
     shapes = relation_shapes(multi, last_by_id(lines.select("id", "pos", "pts")), points)
-    rows = poi_rows.unionByName(flat(places, F.lit("place"))).unionByName(flat(barriers, F.lit("barrier"), F.col("cls"))).unionByName(flat(areas, F.col("of"))).unionByName(flat(shapes, F.col("kind")))
+    rows = kept.unionByName(flat(place_rows(nodes), F.lit("place"))).unionByName(flat(barrier_rows(lines), F.lit("barrier"), F.col("cls"))).unionByName(flat(area_rows(lines), F.col("of"))).unionByName(flat(shapes, F.col("kind")))
     rows = tables.materialise(rows, "contract")
     return numbered(rows, [F.asc("osm_id"), F.asc("kind")], "pos")
 

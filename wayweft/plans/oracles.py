@@ -109,13 +109,13 @@ CTES = {
     "keyed": "select local.*, row_number() over (partition by district order by importance desc, rank) as k from local",
     "spine": "select district, any_value(spine_dir) as spine_dir, string_agg(token, ',' order by x * ux + y * uy desc, rank) as tokens from keyed join axis using (district) where k <= 8 group by district",
     "ref": "select l_orderkey as way, l_partkey as node, l_linenumber, l_suppkey, l_quantity, l_extendedprice from lineitem",
-    "node": f"select p_partkey as node, {D('-120.5')} + (p_partkey % 97) * 3e-4 as lon, {D('45.5')} + (p_partkey % 89) * 3e-4 as lat from part where p_partkey % 13 <> 0",
+    "node": f"select p_partkey as node, {D('-120.5')} + (p_partkey % 97) * 3e-4 + ((p_partkey * p_partkey * 31 + p_partkey) % 1009) * 1e-7 as lon, {D('45.5')} + (p_partkey % 89) * 3e-4 + ((p_partkey * p_partkey * 17 + p_partkey) % 997) * 1e-7 as lat from part where p_partkey % 13 <> 0",
     "vertex": "select way, lon, lat, row_number() over (partition by way order by l_linenumber, node, l_suppkey, l_quantity, l_extendedprice) as i, count(*) over (partition by way) as n from ref join node using (node)",
     "hop": "select a.way, a.i, a.n, a.lon as px, a.lat as py, b.lon as qx, b.lat as qy from vertex a join vertex b on a.way = b.way and b.i = a.i % a.n + 1",
-    "road": "select way, i - 1 as seq, 'Way ' || (way % 50) as street, px as x1, py as y1, qx as x2, qy as y2 from hop where i < n and way % 40 = 0",
+    "road": "select way, i - 1 as seq, 'Way ' || (way % 50) as street, px as x1, py as y1, qx as x2, qy as y2 from hop where i < n",
 }
 
-_NEEDS = {
+NEEDS = {
     "poi0": ("raw",), "poi": ("poi0",), "shape": ("place",), "seg": ("shape",), "near": ("poi", "place"), "standing": ("near",), "flag": ("standing",), "prom": ("flag",), "tok": ("prom",), "minor": ("flag",), "knn": ("prom",), "pair": ("knn",), "ends": ("pair", "tok"),
     "crossed": ("ends", "seg"), "inside": ("prom", "seg"), "wet": ("ends", "seg", "inside"), "edge": ("ends", "crossed", "wet"), "street_n": ("tok",), "main_street": ("street_n",), "centre": ("tok",), "local": ("centre", "tok"), "sums": ("local",), "axis0": ("sums",), "axis1": ("axis0",), "axis": ("axis1",),
     "keyed": ("local",), "spine": ("keyed", "axis"), "vertex": ("ref", "node"), "hop": ("vertex",), "road": ("hop",),
@@ -127,7 +127,7 @@ def needs(select: str, *names: str) -> str:
     order: list[str] = []
 
     def add(name: str) -> None:
-        for one in _NEEDS.get(name, ()):
+        for one in NEEDS.get(name, ()):
             add(one)
         if name not in order:
             order.append(name)

@@ -12,7 +12,7 @@ from ..operators import chunks as chunking
 from ..operators import classify, graph, promote, render, stage1, summary
 from ..operators.nearest import nearest_k
 from ..options import Options
-from . import model, oracles, synthetic
+from . import extract, model, oracles, synthetic
 from .oracles import haversine, needs, wind
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,30 +160,19 @@ def name_resolution(spark, d):
     return synthetic.table(spark, d, "customer").select(key.alias("id"), found.alias("name"))
 
 
-@query(needs("select (select string_agg(name, ' & ') from (select name from place order by pos limit 2)) as title, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north from node", "node", "place"))
-def title_bounds(spark, d):
-    names = synthetic.places(spark, d).groupBy("name").agg(F.min("pos").alias("pos")).orderBy("pos").limit(2).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda p: p["name"]), " & ").alias("title"))
-    box = synthetic.way_nodes(spark, d).agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
-    return names.crossJoin(box)  # one row with one row
-
-
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def json_props(spark, d):
     return synthetic.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query(needs("select kind, count(*) as n from (select kind from shape union all select 'place' from place union all select 'poi' from poi) group by kind", "shape", "poi"))
-def kind_counts(spark, d):
-    return synthetic.features(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- ways -------------------------------------------------------------------------------------------------------
 
 
 def _ways(spark, d) -> DataFrame:
-    refs = synthetic.way_refs(spark, d)
-    met = refs.join(synthetic.way_nodes(spark, d), "node")
-    return met.groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", geo.point("lon", "lat").alias("pt")))), lambda s: s["pt"]).alias("pts"))
+    """way and pts of the ways that have a node."""
+    refs = synthetic.way_refs(spark, d).groupBy(F.col("way").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda s: s["node"]).alias("nds"))
+    points = synthetic.way_nodes(spark, d).select(F.col("node").alias("id"), geo.point("lon", "lat").alias("pt"))
+    return stage1.way_points(refs, points).where("size(pts) > 0").withColumnRenamed("key", "way")
 
 
 @query(needs("select way, count(*) as n, arg_min(lon, i) as first_lon, arg_max(lat, i) as last_lat from vertex group by way", "vertex"))
@@ -216,7 +205,13 @@ def colocation_unnamed_anti(spark, d):
     return stage1.merged(synthetic.pois(spark, d)).where("name is null").select("id")
 
 
-@query()
+_FEW_NAMES = {"m_src": "select id as rid, osm_id, case when name is not null then 'N' || (key % 5) end as name, importance, category, lon, lat from poi"}
+oracles.CTES.update(_FEW_NAMES)
+oracles.NEEDS.update({"m_src": ("poi",), "m_named": ("m_src",), "m_greedy": ("m_named",), "m_kept": ("m_src", "m_greedy")})
+oracles.CTES.update(extract.merge_ctes("m", "m_src"))
+
+
+@query(needs("select rid as id, name, category from m_kept", "m_kept"))
 def colocation_merge(spark, d):
     """With few names, so that named points fold, too."""
     return stage1.merged(synthetic.pois(spark, d).withColumn("name", F.when(F.col("name").isNotNull(), F.concat(F.lit("N"), (F.col("key") % 5).cast("string"))))).select("id", "name", "category")
