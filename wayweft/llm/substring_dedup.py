@@ -4,7 +4,7 @@ Reference shards are passages of the documents, as words. A shard is a suffix au
 are streamed through it, and wherever the longest match is at least a window long and its last window occurs twice or
 more in the shard, that window is removed. Nothing else decides: hashes only say where passages go.
 
-Passages are routed by anchors: the anchor of a window is the smallest hash of its groups of twelve words, so equal
+Passages are routed by anchors: the anchor of a window is the smallest hash of its groups of eight words, so equal
 windows have equal anchors, and every window belongs to the passage around one place of its anchor (neighbouring windows
 mostly share it). An exchange of anchors first tells each block of documents which of its anchors occur again at all.
 Only those passages become reference passages; equal ones are one, with a count. While they are few (BROADCAST_WORDS,
@@ -35,7 +35,7 @@ from . import frames, scratch, wordhash
 
 WINDOW = 35
 #: Words of an anchor; bytes of text of a block, of an exchange's partition, and for each range of hashes.
-ANCHOR, BLOCK_BYTES, PARTITION_BYTES, RANGE_BYTES = 12, 2 << 20, 64 << 20, 32 << 20
+ANCHOR, BLOCK_BYTES, PARTITION_BYTES, RANGE_BYTES = 8, 2 << 20, 64 << 20, 32 << 20
 #: Words of the passages of one automaton; words of all passages up to which the automaton is broadcast.
 SHARD_WORDS, BROADCAST_WORDS = 20_000, 100_000
 #: Groups of blocks that share an anchor from which its windows are routed one by one.
@@ -119,7 +119,7 @@ class SuffixAutomaton:
 
 
 def anchor_places(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all groups, and for each window the place of its anchor: the first of the smallest in it."""
+    """Keys of all groups, and for each window the place of its anchor: the first group of the smallest hash in it."""
     k = min(ANCHOR, window)
     width = window - k + 1
     if len(words) < window:
@@ -131,7 +131,7 @@ def anchor_places(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
         left, right = at[:-step], at[step:]
         at = np.where(groups[right] < groups[left], right, left)
         have += step
-    return groups, at
+    return wordhash.mix(groups), at  # anchors have small hashes; their keys are spread evenly
 
 
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
