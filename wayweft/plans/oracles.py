@@ -127,10 +127,11 @@ def needs(select: str, *names: str) -> str:
     order: list[str] = []
 
     def add(name: str) -> None:
+        if name in order:
+            return
         for one in NEEDS.get(name, ()):
             add(one)
-        if name not in order:
-            order.append(name)
+        order.append(name)
 
     for name in names:
         add(name)

@@ -12,7 +12,7 @@ from ..operators import chunks as chunking
 from ..operators import classify, graph, promote, render, stage1, summary
 from ..operators.nearest import nearest_k
 from ..options import Options
-from . import extract, model, oracles, synthetic
+from . import document_oracles, extract, model, oracles, synthetic
 from .oracles import haversine, needs, wind
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,15 +328,10 @@ def terrain_area_filter(spark, d):
     return summary.shown(rows, 5000.0).select("name", "kind", F.rint(F.col("area_m2") / 10).cast("long").alias("area_10m2"))
 
 
-_POS = f"""select kind, name, geom_type <> 'Polygon' as linear, n, abs(x - 120475e-3 * -1) < 6e-3 and abs(y - 45525e-3) < 6e-3 as central, {wind('-120475e-3', '45525e-3', 'x', 'y')} as oct, (maxx - minx) / 5e-2 > 4e-1 or (maxy - miny) / 5e-2 > 4e-1 as wide, flat, x, y
-  from (select *, len(flat) as n, list_avg(list_transform(flat, lambda p: p.lon)) as x, list_avg(list_transform(flat, lambda p: p.lat)) as y, list_max(list_transform(flat, lambda p: p.lon)) as maxx, list_min(list_transform(flat, lambda p: p.lon)) as minx, list_max(list_transform(flat, lambda p: p.lat)) as maxy, list_min(list_transform(flat, lambda p: p.lat)) as miny from {_TERRAIN})"""
-
-
-@query(needs(f"select kind, name, case when linear then 'line' when wide and not central then oct || ' edge' when central then 'central' else oct end as position from ({_POS})", "shape"))
+@query(document_oracles.TERRAIN_POSITION)
 def terrain_position(spark, d):
-    """Lines are left to the golden document, which shows their axis."""
     rows = summary.terrain(synthetic.shapes(spark, d).withColumn("category", F.lit(None).cast("string")), synthetic.bounds())
-    return rows.select("kind", "name", F.when(F.col("geometry_type") == "LineString", "line").otherwise(F.col("position")).alias("position"))
+    return rows.select("kind", "name", "position")
 
 
 # --- chunks -----------------------------------------------------------------------------------------------------------
@@ -382,7 +377,7 @@ def gap_cut(spark, d):
     return by.select("district", "n", F.when((median > 0) & (F.col("best.gap") >= 2 * median), -F.col("best.i")).otherwise(F.floor(F.col("n") / 2)).cast("long").alias("cut"))
 
 
-@query()
+@query(document_oracles.CHUNKS)
 def bisect_chunks(spark, d):
     found = _model(spark, d)
     parts = model.partition(found, Options(chunking=True, scene_size=8))
@@ -419,17 +414,18 @@ def render_connections(spark, d):
     return render.arrows(_edges(spark, d), Options())
 
 
-@query()
+@query(document_oracles.DOCUMENT)
 def render_document(spark, d):
     return render.document(_model(spark, d), Options())
 
 
-@query()
+@query(document_oracles.SCENES)
 def scene_chunks(spark, d):
-    return model.scene_chunks(_model(spark, d), Options(chunking=True))
+    rows = model.scene_chunks(_model(spark, d), Options(chunking=True))
+    return rows.withColumn("bounds", render.bounds_span(F.col("bounds"))).withColumn("tokens", F.array_join("tokens", ",")).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
-@query()
+@query(document_oracles.MANIFEST)
 def manifest_lines(spark, d):
     found = _model(spark, d)
     return render.manifest(model.scene_chunks(found, Options(chunking=True)), found.meta)
