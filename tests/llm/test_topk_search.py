@@ -25,15 +25,35 @@ def brute(rows, k=5):
 def test_bounds_hold(seed):
     r = np.random.default_rng(seed)
     v, q = r.integers(-9, 9, (60, 7)).astype(float), r.integers(-9, 9, (5, 7)).astype(float)
+    reader = T.Reader(T.SortedLists(v), q)
     for depth in (1, 10, 59, 60):
-        low, high = T.bounds(T.SortedLists(v), q, depth)
-        assert (low <= q @ v.T).all() and (q @ v.T <= high).all()
-    assert (low == high).all()
+        low, high = reader.to(depth, np.arange(5))
+        assert (low <= q @ v.T + 1e-9).all() and (q @ v.T <= high + 1e-9).all()
+    assert np.allclose(low, high)
+
+
+def test_reading_stops():
+    """Where few vectors stand out, part of the lists is enough."""
+    r = np.random.default_rng(1)
+    v = r.integers(-20, 20, (2000, 16)).astype(float)
+    v[:8] *= 20
+    q = v[:8].copy()
+    readers, plain = [], T.Reader
+    T.Reader = lambda *a: readers.append(plain(*a)) or readers[-1]
+    try:
+        got = T.search(v, np.arange(2000), q, np.arange(8) + 10_000, 5)
+    finally:
+        T.Reader = plain
+    assert readers[0].entries < 0.7 * 8 * 2000 * 16
+    for i in range(8):
+        best = sorted(((-int(x), j) for j, x in enumerate(v @ q[i])))[:5]
+        assert [(j, -s) for s, j in best] == [(c, s) for a, c, s in got if a == 10_000 + i]
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(T, "SHARD", 40)
-    monkeypatch.setattr(T, "BLOCK", 3)
+    monkeypatch.setattr(T, "SHARD", 40 * 6)
+    monkeypatch.setattr(T, "BLOCK", 3 * 6)
+    monkeypatch.setattr(T, "PILOT", 20)
     r = random.Random(2)
     base = [[r.gauss(0, 0.2) for _ in range(6)] for _ in range(30)]
     rows = [(i, r.choice(base) if r.random() < 0.5 else [r.gauss(0, 0.2) for _ in range(6)]) for i in range(700)]
@@ -53,3 +73,13 @@ def test_large_components(spark):
         best = sorted((-int(rows[q][1][0]) * int(rows[i][1][0]) - 1, i) for i in range(60) if i != q)[:5]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == want
+
+
+def test_components_beyond_any_range(spark):
+    """Exact order; scores beyond a long are its end; what overflows when scaled takes no part."""
+    values = [1e17, -1e17, 3e200, 2e200, 1e300, 1e308, 5.0, 2.0**60, -(2.0**61)]
+    rows = [(i, [x, 1.0]) for i, x in enumerate(values)]
+    got = sorted(tuple(x) for x in T.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect())
+    whole = {i: [int(math.floor(256 * x)) for x in v] for i, v in rows if math.isfinite(256 * v[0])}
+    best = sorted((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i)[:5]
+    assert got == [(0, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
