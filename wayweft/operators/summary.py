@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..options import Options
+from .promote import numbered
 
 
 def dominant(rows: DataFrame, key: str, street: str = "street") -> DataFrame:
@@ -49,9 +50,8 @@ def districts(points: DataFrame, minors: DataFrame, anchor_rows: DataFrame, opti
     split = cluster_split(minors.where("district is not null"), "district")
     first = anchor_rows.groupBy(F.col("name").alias("district")).agg(F.min_by(F.struct("lon", "lat"), "pos").alias("anchor"))
     rows = sizes.join(spine(points.where("district is not null"), options.spine_cap), "district").join(dominant(points, "district"), "district", "left").join(split, "district", "left").join(first, "district")
-    order = Window.orderBy(F.desc("promoted_count"), "district")  # a row for each district
-    return rows.select(
-        F.row_number().over(order).alias("ord"), F.col("district").alias("name"), F.col("dominant_street").alias("street"), "spine_dir", "spine_tokens", "promoted_count", F.coalesce("total", F.lit(0)).alias("clustered_count"),
+    return numbered(rows, [F.desc("promoted_count"), F.asc("district")], "ord").select(
+        F.col("ord").cast("int").alias("ord"), F.col("district").alias("name"), F.col("dominant_street").alias("street"), "spine_dir", "spine_tokens", "promoted_count", F.coalesce("total", F.lit(0)).alias("clustered_count"),
         F.coalesce("named", F.array().cast("array<struct<name:string,count:bigint>>")).alias("named_minors"), F.coalesce("props", F.lit(0)).alias("prop_count"), F.col("anchor.lon").alias("anchor_lon"), F.col("anchor.lat").alias("anchor_lat"),
     )
 
@@ -72,9 +72,9 @@ def terrain(features: DataFrame, bounds: Column) -> DataFrame:
     groups = groups.withColumn("flat", F.flatten("parts")).where(F.size("flat") > 0)
     note = F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])[F.col("kind")]
     area = F.when(F.col("linear"), F.lit(0.0)).otherwise(F.aggregate("parts", F.lit(0.0), lambda s, ring: s + geo.ring_area_m2(ring)))
-    order = Window.orderBy(F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")), "name")  # a row for each named shape
-    return groups.select(
-        F.row_number().over(order).alias("ord"), "name", "kind", F.when(F.col("kind") == "barrier", F.concat(F.lit("barrier:"), F.coalesce("head.barrier_class", F.lit("")))).otherwise(F.col("kind")).alias("kind_label"), note.alias("note"),
+    kind_order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
+    return numbered(groups, [kind_order, F.asc("name")], "ord").select(
+        F.col("ord").cast("int").alias("ord"), "name", "kind", F.when(F.col("kind") == "barrier", F.concat(F.lit("barrier:"), F.coalesce("head.barrier_class", F.lit("")))).otherwise(F.col("kind")).alias("kind_label"), note.alias("note"),
         geo.position_in(F.col("flat"), bounds, F.col("linear")).alias("position"), F.when(F.col("linear"), "LineString").otherwise("Polygon").alias("geometry_type"), "parts", area.alias("area_m2"),
     )
 

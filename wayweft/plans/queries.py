@@ -392,9 +392,8 @@ def components(spark, d):
 
 @query(needs("select key, case when rn > 1 then slug || '-' || rn else slug end as slug from (select n_nationkey as key, slug, row_number() over (partition by slug order by n_nationkey) as rn from (select n_nationkey, 'area-' || (n_nationkey % 6) as slug from nation))"))
 def slug_unique(spark, d):
-    rows = synthetic.table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), text.slug(F.concat(F.lit("Area — "), (F.col("n_nationkey") % 6).cast("string"))).alias("plain"))
-    nth = F.row_number().over(Window.partitionBy("plain").orderBy("key"))
-    return rows.withColumn("n", nth).select("key", F.when(F.col("n") > 1, F.concat_ws("-", "plain", F.col("n").cast("string"))).otherwise(F.col("plain")).alias("slug"))
+    rows = synthetic.table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), text.slug(F.concat(F.lit("Area — "), (F.col("n_nationkey") % 6).cast("string"))).alias("slug"))
+    return chunking.unique_slugs(rows).select(F.col("ord").alias("key"), "slug")
 
 
 @query(needs(f"select rank, case when rn > 1 then oct || ' — ' || shown else oct end as label from (select *, row_number() over (partition by district, oct order by rank) as rn from (select t.*, {wind('clon', 'clat', 'lon', 'lat')} as oct from tok t join centre using (district)))", "tok", "centre"))
