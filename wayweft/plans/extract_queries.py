@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import tables
-from ..functions import geo
-from ..operators import stage1
-from ..sources import osm, writers
-from . import extract, normalize, oracles
+from .. import options, tables
+from ..functions import geo, text
+from ..operators import chunks, graph, stage1
+from ..sources import geojson, osm, writers
+from . import extract, normalize, oracles, synthetic
 from .oracles import needs
-from .queries import query
+from .queries import _promoted, _ways, query
 
 oracles.CTES.update(extract.CTES)
 oracles.NEEDS.update(extract.NEEDS)
@@ -121,8 +121,44 @@ def kind_counts(spark, d):
 @query(needs(f"select way, {_FIFTH('lon')} as lon5, {_FIFTH('lat')} as lat5, cast(n + (case when sx = 0 and sy = 0 then 0 else 1 end) as bigint) as closed_n, bonus from (select way, n, fx + case when closed and n >= 4 and a2 <> 0 then mx / (3 * a2) else ax end as lon, fy + case when closed and n >= 4 and a2 <> 0 then my / (3 * a2) else ay end as lat from x_ring) join (select way, arg_max(lon, i) - arg_min(lon, i) as sx, arg_max(lat, i) - arg_min(lat, i) as sy from vertex group by way) using (way) join (select way, case when a <= 200 then 0 else cast(least(9, round_even(5 * log10(a / 200), 0)) as int) end as bonus from (select way, case when any_value(n) >= 3 then abs(sum(px * k * qy * 111320e0 - qx * k * py * 111320e0)) / 2 else 0 end as a from (select *, 111320e0 * cos(radians(avg(py) over (partition by way))) as k from hop) group by way)) using (way)", "x_ring"))
 def way_representatives(spark, d):
     """Representative point, closed ring and area bonus of every way."""
-    from .queries import _ways
-
     pts = F.col("pts")
     rows = _ways(spark, d).select("way", geo.representative_point(pts).alias("pt"), F.size(geo.closed_ring(pts)).cast("long").alias("closed_n"), stage1.classify.area_bonus(geo.footprint_m2(pts)).alias("bonus"))
     return rows.select("way", _fifth(F.col("pt.lon")).alias("lon5"), _fifth(F.col("pt.lat")).alias("lat5"), "closed_n", "bonus")
+
+
+@query(needs(f"select kind, osm_id, name, category, importance, tier, salience, street, street_approx, barrier_class, geom_type, cast(n as bigint) as n, {_FIFTH('west')} as west5, {_FIFTH('south')} as south5, 'Lattice' as title from x_all", "x_all"))
+def contract_lines(spark, d):
+    """The contract written one feature a line and scanned again: points, lines and outer rings decoded from JSON."""
+    path = extract.write(spark, d)
+    ordered = lambda rows: tables.materialise(rows.withColumn("pos", F.col("id")), "scan")
+    rows = stage1.features(ordered(osm.nodes(spark, path)), ordered(osm.ways(spark, path)), ordered(osm.relations(spark, path)))
+    lines = tables.folder(spark, "contract-lines")
+    writers.write_lines(rows, synthetic.meta(spark), lines)
+    found, meta = geojson.read_lines(spark, lines)
+    low = lambda axis: _fifth(F.array_min(F.transform("pts", lambda p: p[axis])))
+    shown = found.select("kind", "osm_id", "name", "category", "importance", "tier", "salience", "street", "street_approx", "barrier_class", "geom_type", F.size("pts").cast("long").alias("n"), low("lon").alias("west5"), low("lat").alias("south5"))
+    return shown.crossJoin(F.broadcast(meta.select("title")))  # one row
+
+
+@query(needs("select rank, dense_rank() over (order by n desc, component) as grp, 'Around ' || top as base from (select rank, component, count(*) over (partition by component) as n, first_value(shown) over (partition by component order by importance desc, rank) as top from (select rank, min(other) as component from reach group by rank) join prom using (rank))", "pair").replace("with recursive ", "with recursive ", 1).replace(" select rank, dense_rank()", ", reach(rank, other) as (select rank, rank from prom union select reach.rank, pair.dst from reach join pair on pair.src = reach.other) select rank, dense_rank()", 1))
+def component_groups(spark, d):
+    """Groups of scene chunks where there are no districts."""
+    points = tables.materialise(_promoted(spark, d), "points")
+    pairs = tables.materialise(graph.knn_pairs(points, 3), "pairs")
+    none = points.select(F.col("district").alias("name"), F.lit(1).alias("ord")).limit(0)
+    return chunks.groups(points, pairs, none).select("rank", F.col("group").cast("long").alias("grp"), "base")
+
+
+_OPTIONS = [(None, False, False, True, False, False, 14), ("  ", False, False, True, False, False, 14), ('{"Bidirectional": true, "sceneSize": "tight"}', True, False, True, False, False, 8), ('{"inlineNeighborName": true, "directivePreamble": false, "chunking": true, "minorFeatures": true, "sceneSize": "wide"}', False, True, False, True, True, 22), ('{"sceneSize": "huge", "chunking": "yes"}', False, False, True, False, False, 14)]
+
+
+@query("select * from (values " + ", ".join(f"({i}, {b}, {n}, {p}, {c}, {m}, {s})" for i, (_, b, n, p, c, m, s) in enumerate(_OPTIONS)) + ") v(id, bidirectional, inline_name, preamble, chunking, minor_features, scene_size)")
+def options_json(spark, d):
+    found = [(i, (o := options.parse(text)).bidirectional, o.inline_name, o.preamble, o.chunking, o.minor_features, o.scene_size) for i, (text, *_) in enumerate(_OPTIONS)]
+    return spark.createDataFrame(found, "id int, bidirectional boolean, inline_name boolean, preamble boolean, chunking boolean, minor_features boolean, scene_size int")
+
+
+@query(needs(f"select id, round_even(lon * 1e7, 0) / 1e7 as lon7, rtrim(rtrim(printf('%.4f', lat), '0'), '.') as lat4 from poi", "poi"))
+def coordinate_text(spark, d):
+    """Coordinates rounded to seven places, and written with up to four."""
+    return synthetic.pois(spark, d).select("id", geo.round7("lon").alias("lon7"), text.decimals4("lat").alias("lat4"))

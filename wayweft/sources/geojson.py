@@ -41,9 +41,23 @@ def outer_ring_of(coordinates: Column) -> Column:
     return F.coalesce(_positions(F.get(F.from_json(coordinates, "array<array<array<double>>>"), F.lit(0))), F.array().cast(schema.POINTS))
 
 
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Features and meta of a folder that writers.write_lines() wrote, or of newline-delimited features: files of any
+    size, split as Spark likes. The order is that of the file parts and their lines."""
+    kind = schema.GEOJSON
+    feature = kind[kind.index("array<struct<") + len("array<") : kind.rindex(">")]
+    rows = spark.read.text(f"{path}/features").select(F.monotonically_increasing_id().alias("at"), F.from_json("value", feature, {"mode": "FAILFAST"}).alias("f"))
+    head = spark.read.text(f"{path}/collection").select(F.from_json("value", "schemaVersion int, title string, bounds array<double>").alias("properties"))
+    return flat(rows), meta(head)
+
+
 def features(collections: DataFrame) -> DataFrame:
     """The features in their order, flat and with their geometry decoded."""
-    rows = collections.select(F.posexplode("features").alias("at", "f"))
+    return flat(collections.select(F.posexplode("features").alias("at", "f")))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """rows(at, f): a feature each."""
     p, g = F.col("f.properties"), F.col("f.geometry")
     pts = F.when(g["type"] == "Point", point_of(g["coordinates"])).when(g["type"] == "LineString", line_of(g["coordinates"])).when(g["type"] == "Polygon", outer_ring_of(g["coordinates"])).otherwise(F.array().cast(schema.POINTS))
     return rows.select(
