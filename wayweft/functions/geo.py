@@ -101,13 +101,6 @@ def point_in_ring(lon, lat, ring: Column) -> Column:
     return F.size(F.filter(edges_of(ring), hit)) % 2 == 1
 
 
-def segment_crosses_ring(ax, ay, bx, by, ring: Column) -> Column:
-    """An end inside, or an edge crossed; never for fewer than three vertices."""
-    ax, ay, bx, by = (c(x) for x in (ax, ay, bx, by))
-    crossed = F.exists(edges_of(ring), lambda e: segments_cross(ax, ay, bx, by, e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"]))
-    return (F.size(ring) >= 3) & (point_in_ring(ax, ay, ring) | point_in_ring(bx, by, ring) | crossed)
-
-
 def mean_of(points: Column, axis: str) -> Column:
     return F.aggregate(points, F.lit(0.0), lambda s, p: s + p[axis]) / F.size(points)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
 
@@ -131,32 +130,6 @@ def assemble(ways: list[Line], tolerance: float) -> tuple[list[Line], list[Line]
     return rings, lines
 
 
-def greedy_keep(lons: list[float], lats: list[float], metres: float) -> list[bool]:
-    """In order: a point is kept unless one kept before is within so many metres. Kept points wait in grid cells."""
-    step = metres / 111_000
-    cells: dict[tuple[int, int], list[int]] = {}
-    out = []
-    for i, (lon, lat) in enumerate(zip(lons, lats)):
-        row = math.floor(lat / step)
-        folds = False
-        for r in (row - 1, row, row + 1):
-            wide = step / max(0.01, cos(radians(min(89.0, (abs(r) + 1) * step))))
-            col = math.floor(lon / wide)
-            for k in (j for q in (col - 1, col, col + 1) for j in cells.get((r, q), ())):
-                d_lat, d_lon = radians(lats[k] - lat) / 2, radians(lons[k] - lon) / 2
-                h = sin(d_lat) ** 2 + cos(radians(lat)) * cos(radians(lats[k])) * sin(d_lon) ** 2
-                if 2 * 6_371_000.0 * asin(min(1.0, sqrt(h))) <= metres:
-                    folds = True
-                    break
-            if folds:
-                break
-        if not folds:
-            wide = step / max(0.01, cos(radians(min(89.0, (abs(row) + 1) * step))))
-            cells.setdefault((row, math.floor(lon / wide)), []).append(i)
-        out.append(not folds)
-    return out
-
-
 def bisect(members: list[dict], target: int) -> list[list[dict]]:
     """Pieces of at most `target` members, cut at the widest gap along the longer axis if it stands out, else in the middle."""
     if len(members) <= target:

@@ -162,3 +162,25 @@ def options_json(spark, d):
 def coordinate_text(spark, d):
     """Coordinates rounded to seven places, and written with up to four."""
     return synthetic.pois(spark, d).select("id", geo.round7("lon").alias("lon7"), text.decimals4("lat").alias("lat4"))
+
+
+@query(needs("select id, cast(round_even((800 - sx * scale) / 2 + (lon + 1205e-1) * squeeze * scale + 137e-3, 0) as bigint) as x, cast(round_even((600 - sy * scale) / 2 + (4555e-2 - lat) * scale + 137e-3, 0) as bigint) as y from (select *, least((800 - 48) / sx, (600 - 48) / sy) as scale from (select id, lon, lat, squeeze, 5e-2 * squeeze as sx, 5e-2 as sy from (select *, cos(radians(45525e-3)) as squeeze from poi)))", "poi"))
+def view_fit(spark, d):
+    """Places in a view of 800 by 600, north up."""
+    at = geo.equirectangular_fit("lon", "lat", synthetic.bounds(), 800.0, 600.0)
+    return synthetic.pois(spark, d).select("id", at.alias("at")).select("id", F.rint(F.col("at.x") + 0.137).cast("long").alias("x"), F.rint(F.col("at.y") + 0.137).cast("long").alias("y"))
+
+
+@query(needs("select dst as token_rank, string_agg(src, ',' order by src) as neighbours from pair group by dst", "pair"))
+def neighbours_of(spark, d):
+    """The neighbours of every feature, as a detail view lists them."""
+    points = _promoted(spark, d)
+    rows = graph.knn_pairs(points, 3).groupBy(F.col("src").alias("token_rank")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("neighbours"))
+    return rows
+
+
+@query(needs("select least(src, dst) as one, greatest(src, dst) as other from pair group by all", "pair"))
+def undirected_pairs(spark, d):
+    """Each drawable edge once."""
+    pairs = graph.knn_pairs(_promoted(spark, d), 3).withColumn("ord", F.lit(1))
+    return graph.one_way(pairs).select(F.col("src").alias("one"), F.col("dst").alias("other"))
