@@ -45,6 +45,11 @@ def _across(lon, row: Column, cell: float) -> Column:
     return geo.c(lon) * METRES_PER_DEGREE * F.cos(F.radians(widest)) / cell
 
 
+def _cell(col: Column, row: Column) -> Column:
+    """A cell as one number, which is cheaper to make distinct than a pair."""
+    return col * F.lit(1 << 32) + row
+
+
 def nearest_street(pois: DataFrame, segments: DataFrame, radius: float = STREET_RADIUS_M) -> DataFrame:
     """id and street of the nearest segment of pois(id, lon, lat) within the radius; the first in the file wins a tie.
 
@@ -61,12 +66,13 @@ def nearest_street(pois: DataFrame, segments: DataFrame, radius: float = STREET_
         (xa, xb), (ya, yb) = ends("x1", "x2"), ends("y1", "y2")
         across = lambda row: F.sequence(F.floor(_across(F.least(xa, xb), row, cell) - 1.01 / CELL_RADII), F.floor(_across(F.greatest(xa, xb), row, cell) + 1.01 / CELL_RADII))
         rows = F.sequence(_row(F.least(ya, yb) - reach, cell), _row(F.greatest(ya, yb) + reach, cell))
-        return F.flatten(F.transform(rows, lambda row: F.transform(across(row), lambda col: F.struct(col.alias("gx"), row.alias("gy")))))
+        return F.flatten(F.transform(rows, lambda row: F.transform(across(row), lambda col: _cell(col, row))))
 
     cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), steps), touched)))
-    dealt = segments.select("road", "at", "street", "x1", "y1", "x2", "y2", F.inline(cells))
-    placed = pois.select("id", "lon", "lat").withColumn("gy", _row("lat", cell)).withColumn("gx", F.floor(_across("lon", F.col("gy"), cell)))
-    met = placed.join(dealt, ["gx", "gy"]).withColumn("d", geo.point_segment_m("lon", "lat", "x1", "y1", "x2", "y2")).where(F.col("d") <= radius)
+    dealt = segments.select("road", "at", "street", "x1", "y1", "x2", "y2", F.explode(cells).alias("cell"))
+    row = _row("lat", cell)
+    placed = pois.select("id", "lon", "lat", _cell(F.floor(_across("lon", row, cell)), row).alias("cell"))
+    met = placed.join(dealt, "cell").withColumn("d", geo.point_segment_m("lon", "lat", "x1", "y1", "x2", "y2")).where(F.col("d") <= radius)
     return met.groupBy("id").agg(F.min_by("street", F.struct("d", "road", "at")).alias("street"))
 
 
