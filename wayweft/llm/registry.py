@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, license_scan, near_dedup, packing, secret_scan, substring_dedup, topk_search, url_filter
+from . import byte_bpe, exact_dedup, fill_middle, language_id, license_scan, near_dedup, packing, secret_scan, substring_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,11 @@ s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigin
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+ORACLES["op12_fill_middle"] = fill_middle.oracle()
