@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, exact_dedup, fill_middle, language_id, license_scan, near_dedup, packing, secret_scan, substring_dedup, topk_search, url_filter
+from . import byte_bpe, conversation_repair, exact_dedup, fill_middle, language_id, license_scan, near_dedup, packing, secret_scan, substring_dedup, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ ORACLES["op12_fill_middle"] = fill_middle.oracle()
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.reports(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(_table(spark, sf_dir, "documents"), window=400)
