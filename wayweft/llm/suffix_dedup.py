@@ -35,11 +35,11 @@ WINDOW = 400
 #: Bytes of a group whose hash makes an anchor, and of the key at an anchor; windows have at least KEY bytes.
 GROUP, KEY = 16, 32
 #: Bytes of text of a block, of an exchange's partition, and for each range of hashes; of a shard's passages.
-BLOCK_BYTES, PARTITION_BYTES, RANGE_BYTES, SHARD_BYTES = 4 << 20, 64 << 20, 32 << 20, 4 << 20
+BLOCK_BYTES, PARTITION_BYTES, RANGE_BYTES, SHARD_BYTES = 2 << 20, 64 << 20, 32 << 20, 4 << 20
 #: Different passages of a route from which it is parted.
 HOT = 4096
 #: Windows looked at at once.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _U = np.uint64
 _ONE, _TWO = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
