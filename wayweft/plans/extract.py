@@ -82,7 +82,7 @@ def write(spark: SparkSession, sf_dir: str) -> str:
     path = tables.folder(spark, "extract.osm")
     blocks = 1 + spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 50_000
     dealt = out.groupBy(F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("block")).agg(F.concat(F.lit("<osm>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit("\n</osm>")).alias("value"))
-    dealt.select("value").write.text(path)
+    dealt.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a document a file
     return path
 
 
@@ -91,6 +91,8 @@ def _coordinate(axis: str, offset: str) -> str:
     return f"{axis} + {D(repr(number))}" + (f" {half[0]}" if half else " + 0e0")
 
 
+_summed = "list_reduce(list({} order by i), lambda a, b: a + b)".format
+
 #: CTEs, each with those it needs; see oracles.needs.
 CTES = {
     "x_corner": " union all ".join(f"select pos, {j} as j, {_coordinate('lon', x)} as lon, {_coordinate('lat', y)} as lat from (select *, 5e-5 + 3e-5 * (pos % 5) as h from place)" for j, x, y in CORNERS),
@@ -102,8 +104,9 @@ CTES = {
       from part join node on node = p_partkey""",
     "x_node_poi": """select 'n' || id as osm_id, coalesce(name, brand) as name, brand is not null as chain, given, lon, lat, case when amenity = 'bench' or nat = 'tree' then null when tourism = 'museum' then 'landmark.museum' when amenity = 'place_of_worship' then 'landmark.place_of_worship' when amenity = 'school' then 'civic.school'
         when amenity = 'cafe' then 'food.cafe' when amenity = 'bank' then 'shop.bank' when shop = 'deli' then 'food.deli' when shop is not null then 'shop.' || shop when tourism = 'hotel' then 'lodging.hotel' end as category from x_part""",
-    "x_ring": "select way, any_value(n) as n, sum(px * qy - qx * py) as a2, sum((px + qx) * (px * qy - qx * py)) as mx, sum((py + qy) * (px * qy - qx * py)) as my, any_value(fx) as fx, any_value(fy) as fy, avg(px) as ax, avg(py) as ay, bool_or(i = n and px = 0 and py = 0) as closed from (select way, i, n, px - fx as px, py - fy as py, qx - fx as qx, qy - fy as qy, fx, fy from (select *, first_value(px) over w as fx, first_value(py) over w as fy from hop window w as (partition by way order by i))) group by way",
-    "x_way_poi": "select 'w' || way as osm_id, 'School ' || way as name, false as chain, 'Yard ' || (way % 9) as given, fx + case when closed and n >= 4 and a2 <> 0 then mx / (3 * a2) else ax end as lon, fy + case when closed and n >= 4 and a2 <> 0 then my / (3 * a2) else ay end as lat, 'civic.school' as category, 0 as bonus from x_ring where way % 5 = 2",
+    # sums in the order of the vertices, as the engine adds them up: means of lattice points are often ties at seven places
+    "x_ring": f"select way, any_value(n) as n, {_summed('w')} as a2, {_summed('(px + qx) * w')} as mx, {_summed('(py + qy) * w')} as my, any_value(fx) as fx, any_value(fy) as fy, {_summed('lon')} / any_value(n) as ax, {_summed('lat')} / any_value(n) as ay, bool_or(i = n and px = 0 and py = 0) as closed from (select *, px * qy - qx * py as w from (select way, i, n, px as lon, py as lat, px - fx as px, py - fy as py, qx - fx as qx, qy - fy as qy, fx, fy from (select *, first_value(px) over w as fx, first_value(py) over w as fy from hop window w as (partition by way order by i)))) group by way",
+    "x_way_poi": "select 'w' || way as osm_id, 'School ' || way as name, false as chain, 'Yard ' || (way % 9) as given, case when closed and n >= 4 and a2 <> 0 then fx + mx / (3 * a2) else ax end as lon, case when closed and n >= 4 and a2 <> 0 then fy + my / (3 * a2) else ay end as lat, 'civic.school' as category, 0 as bonus from x_ring where way % 5 = 2",
     "x_hall": "select 'w' || (pos * 10 + 40000001) as osm_id, 'Hall ' || pos as name, false as chain, null as given, lon - 3e-3 as lon, lat - 3e-3 as lat, 'civic.university_building' as category, case when a <= 200 then 0 else least(9, cast(round_even(5 * log10(a / 200), 0) as int)) end as bonus from (select *, power(2 * (5e-5 + 3e-5 * (pos % 5)) * 111320e0, 2) * cos(radians(lat - 3e-3)) as a from place)",
 }
 NEEDS = {"x_corner": ("place",), "x_line": ("x_corner",), "x_part": ("node",), "x_node_poi": ("x_part",), "x_ring": ("hop",), "x_way_poi": ("x_ring",), "x_hall": ("place",)}

@@ -32,25 +32,36 @@ _WAY_ID = "pos * 10 + w + 40000000"
   union all select 'relation', pos + 60000000, 3, case pos % 3 when 0 then 4 when 1 then 1 else 2 end from place""", "place", "ref", "x_line"))
 def osm_scan(spark: SparkSession, d: str) -> DataFrame:
     """Nodes, ways and relations that are admitted, from XML."""
-    path = extract.write(spark, d)
+    found = osm.scan(spark, extract.write(spark, d))
     flat = lambda rows, kind, parts: rows.select(F.lit(kind).alias("kind"), "id", F.size("tags").cast("long").alias("n_tags"), parts.cast("long").alias("n_parts"))
-    return flat(osm.nodes(spark, path), "node", F.lit(0)).union(flat(osm.ways(spark, path), "way", F.size("nds"))).union(flat(osm.relations(spark, path), "relation", F.size("members")))
+    return flat(found.nodes, "node", F.lit(0)).union(flat(found.ways, "way", F.size("nds"))).union(flat(found.relations, "relation", F.size("members")))
 
 
-def _lines(spark, path):
-    return stage1.way_points(osm.ways(spark, path).withColumn("key", F.col("pos")), osm.node_points(osm.nodes(spark, path))).drop("key")
+def _lines(found: osm.Scan) -> DataFrame:
+    return stage1.way_points(found.ways.withColumn("key", F.col("pos")), osm.node_points(found.nodes)).drop("key")
+
+
+def _scan(spark: SparkSession, d: str) -> osm.Scan:
+    return osm.scan(spark, extract.write(spark, d))
+
+
+def _contract(spark: SparkSession, d: str) -> DataFrame:
+    """The contract of the extract; a folder of many parts has no order of its own, so rows have that of their ids."""
+    found = _scan(spark, d)
+    ordered = lambda rows: rows.withColumn("pos", F.col("id"))
+    return stage1.features(ordered(found.nodes), ordered(found.ways), ordered(found.relations))
 
 
 @query(needs(f"select way as id, count(*) as n, {_FIFTH('arg_min(lon, i)')} as first_lon, {_FIFTH('arg_max(lat, i)')} as last_lat from vertex group by way union all select {_WAY_ID}, count(*), {_FIFTH('arg_min(lon, i)')}, {_FIFTH('arg_max(lat, i)')} from x_line group by pos, w union all select distinct way, 0, null::bigint, null::bigint from ref where way not in (select way from vertex)", "vertex", "x_line"))
 def osm_way_points(spark, d):
     pts = F.col("pts")
-    return _lines(spark, extract.write(spark, d)).select("id", F.size(pts).cast("long").alias("n"), _fifth(F.get(pts, F.lit(0))["lon"]).alias("first_lon"), _fifth(F.try_element_at(pts, F.lit(-1))["lat"]).alias("last_lat"))
+    return _lines(_scan(spark, d)).select("id", F.size(pts).cast("long").alias("n"), _fifth(F.get(pts, F.lit(0))["lon"]).alias("first_lon"), _fifth(F.try_element_at(pts, F.lit(-1))["lat"]).alias("last_lat"))
 
 
 @query(needs("select arg_min(name, pos) || ' & ' || (select name from place order by pos limit 1 offset 1) as title, (select min(lon) from (select lon from node union all select lon from x_corner union all select lon from place)) as west, (select min(lat) from (select lat from node union all select lat from x_corner union all select lat from place)) as south, (select max(lon) from (select lon from node union all select lon from x_corner union all select lon from place)) as east, (select max(lat) from (select lat from node union all select lat from x_corner union all select lat from place)) as north from place", "node", "x_corner"))
 def title_bounds(spark, d):
     """The nodes in the order of their ids, as files have them, since a folder of many parts has no order of its own."""
-    nodes = osm.nodes(spark, extract.write(spark, d)).withColumn("pos", F.col("id"))
+    nodes = _scan(spark, d).nodes.withColumn("pos", F.col("id"))
     b = F.col("bounds")
     return stage1.meta(nodes).select("title", b[0].alias("west"), b[1].alias("south"), b[2].alias("east"), b[3].alias("north"))
 
@@ -61,16 +72,16 @@ _POI = "osm_id, name, category, importance, tier, salience"
 @query(needs(f"select {_POI}, {_FIFTH('lon')} as lon5, {_FIFTH('lat')} as lat5 from x_poi", "x_poi"))
 def osm_pois(spark, d):
     """Points of interest of nodes and ways: names, classes, scores, representative points and the bonus of halls."""
-    path = extract.write(spark, d)
-    return stage1.poi_rows(osm.nodes(spark, path), _lines(spark, path)).select(*_POI.split(", "), _fifth(F.col("lon")).alias("lon5"), _fifth(F.col("lat")).alias("lat5"))
+    found = _scan(spark, d)
+    return stage1.poi_rows(found.nodes, _lines(found)).select(*_POI.split(", "), _fifth(F.col("lon")).alias("lon5"), _fifth(F.col("lat")).alias("lat5"))
 
 
 @query(needs("select osm_id, street, street_approx from x_placed", "x_placed"))
 def osm_streets(spark, d):
     """Given streets, and the nearest road's where none is given."""
-    path = extract.write(spark, d)
-    lines = _lines(spark, path).withColumn("pos", F.col("id"))
-    pois = stage1.poi_rows(osm.nodes(spark, path), lines).withColumn("id", F.xxhash64("osm_id"))
+    found = _scan(spark, d)
+    lines = _lines(found).withColumn("pos", F.col("id"))
+    pois = stage1.poi_rows(found.nodes, lines).withColumn("id", F.xxhash64("osm_id"))
     return stage1.with_street(pois, stage1.roads(lines)).select("osm_id", "street", "street_approx")
 
 
@@ -84,28 +95,25 @@ def _shapes(rows, kind, cls):
 
 @query(needs(f"select {_SHAPE} from x_shape where osm_id not like 'r%'", "x_shape"))
 def osm_places_barriers_areas(spark, d):
-    path = extract.write(spark, d)
-    lines, none = _lines(spark, path), F.lit(None)
-    return _shapes(stage1.place_rows(osm.nodes(spark, path)), F.lit("place"), none).union(_shapes(stage1.barrier_rows(lines), F.lit("barrier"), F.col("cls"))).union(_shapes(stage1.area_rows(lines), F.col("of"), none))
+    found = _scan(spark, d)
+    lines, none = _lines(found), F.lit(None)
+    return _shapes(stage1.place_rows(found.nodes), F.lit("place"), none).union(_shapes(stage1.barrier_rows(lines), F.lit("barrier"), F.col("cls"))).union(_shapes(stage1.area_rows(lines), F.col("of"), none))
 
 
 @query(needs(f"select {_SHAPE} from x_shape where osm_id like 'r%'", "x_shape"))
 def osm_multipolygons(spark, d):
     """Rings stitched from their ways, open shores, and hulls where there is neither."""
-    path = extract.write(spark, d)
+    found = _scan(spark, d)
     tag = stage1.classify.tags_of()
-    multi = osm.relations(spark, path).select("id", stage1.classify.area_of(tag).alias("kind"), F.col("tags")["name"].alias("name"), "members")
-    rows = stage1.relation_shapes(multi, osm.last_by_id(_lines(spark, path).select("id", "pos", "pts")), osm.node_points(osm.nodes(spark, path)))
+    multi = found.relations.select("id", stage1.classify.area_of(tag).alias("kind"), F.col("tags")["name"].alias("name"), "members")
+    rows = stage1.relation_shapes(multi, osm.last_by_id(_lines(found).select("id", "pos", "pts")), osm.node_points(found.nodes))
     return _shapes(rows, F.col("kind"), F.lit(None))
 
 
 @query(needs(f"select row_number() over (order by osm_id, kind) as pos, kind, osm_id, name, category, importance, tier, salience, street, street_approx, barrier_class, geom_type, cast(n as bigint) as n, {_FIFTH('west')} as west5, {_FIFTH('south')} as south5 from x_all", "x_all"))
 def osm_contract(spark, d):
     """The whole first stage: scan, classification, streets, merging, terrain, union and order."""
-    path = extract.write(spark, d)
-    # a folder of many parts has no order of its own; files have that of their ids
-    ordered = lambda rows: tables.materialise(rows.withColumn("pos", F.col("id")), "scan")
-    rows = stage1.features(ordered(osm.nodes(spark, path)), ordered(osm.ways(spark, path)), ordered(osm.relations(spark, path)))
+    rows = _contract(spark, d)
     low = lambda axis: _fifth(F.array_min(F.transform("pts", lambda p: p[axis])))
     return rows.select("pos", "kind", "osm_id", "name", "category", "importance", "tier", "salience", "street", "street_approx", "barrier_class", "geom_type", F.size("pts").cast("long").alias("n"), low("lon").alias("west5"), low("lat").alias("south5"))
 
@@ -116,9 +124,7 @@ def kind_counts(spark, d):
 
 
 
-
-
-@query(needs(f"select way, {_FIFTH('lon')} as lon5, {_FIFTH('lat')} as lat5, cast(n + (case when sx = 0 and sy = 0 then 0 else 1 end) as bigint) as closed_n, bonus from (select way, n, fx + case when closed and n >= 4 and a2 <> 0 then mx / (3 * a2) else ax end as lon, fy + case when closed and n >= 4 and a2 <> 0 then my / (3 * a2) else ay end as lat from x_ring) join (select way, arg_max(lon, i) - arg_min(lon, i) as sx, arg_max(lat, i) - arg_min(lat, i) as sy from vertex group by way) using (way) join (select way, case when a <= 200 then 0 else cast(least(9, round_even(5 * log10(a / 200), 0)) as int) end as bonus from (select way, case when any_value(n) >= 3 then abs(sum(px * k * qy * 111320e0 - qx * k * py * 111320e0)) / 2 else 0 end as a from (select *, 111320e0 * cos(radians(avg(py) over (partition by way))) as k from hop) group by way)) using (way)", "x_ring"))
+@query(needs(f"select way, {_FIFTH('lon')} as lon5, {_FIFTH('lat')} as lat5, cast(n + (case when sx = 0 and sy = 0 then 0 else 1 end) as bigint) as closed_n, bonus from (select way, n, case when closed and n >= 4 and a2 <> 0 then fx + mx / (3 * a2) else ax end as lon, case when closed and n >= 4 and a2 <> 0 then fy + my / (3 * a2) else ay end as lat from x_ring) join (select way, arg_max(lon, i) - arg_min(lon, i) as sx, arg_max(lat, i) - arg_min(lat, i) as sy from vertex group by way) using (way) join (select way, case when a <= 200 then 0 else cast(least(9, round_even(5 * log10(a / 200), 0)) as int) end as bonus from (select way, case when any_value(n) >= 3 then abs(sum(px * k * qy * 111320e0 - qx * k * py * 111320e0)) / 2 else 0 end as a from (select *, 111320e0 * cos(radians(avg(py) over (partition by way))) as k from hop) group by way)) using (way)", "x_ring"))
 def way_representatives(spark, d):
     """Representative point, closed ring and area bonus of every way."""
     pts = F.col("pts")
@@ -129,9 +135,7 @@ def way_representatives(spark, d):
 @query(needs(f"select kind, osm_id, name, category, importance, tier, salience, street, street_approx, barrier_class, geom_type, cast(n as bigint) as n, {_FIFTH('west')} as west5, {_FIFTH('south')} as south5, 'Lattice' as title from x_all", "x_all"))
 def contract_lines(spark, d):
     """The contract written one feature a line and scanned again: points, lines and outer rings decoded from JSON."""
-    path = extract.write(spark, d)
-    ordered = lambda rows: tables.materialise(rows.withColumn("pos", F.col("id")), "scan")
-    rows = stage1.features(ordered(osm.nodes(spark, path)), ordered(osm.ways(spark, path)), ordered(osm.relations(spark, path)))
+    rows = _contract(spark, d)
     lines = tables.folder(spark, "contract-lines")
     writers.write_lines(rows, synthetic.meta(spark), lines)
     found, meta = geojson.read_lines(spark, lines)

@@ -7,10 +7,6 @@ POINTS = "array<struct<lon:double,lat:double>>"
 #: The contract between the two stages; pos is the order of the input, which decides ties.
 FEATURES = f"pos long, kind string, name string, osm_id string, category string, importance int, tier string, salience string, street string, street_approx boolean, barrier_class string, geom_type string, pts {POINTS}"
 
-NODES = "_id long, _lat double, _lon double, tag array<struct<_k:string,_v:string>>"
-WAYS = "_id long, nd array<struct<_ref:long>>, tag array<struct<_k:string,_v:string>>"
-RELATIONS = "_id long, member array<struct<_type:string,_ref:long,_role:string>>, tag array<struct<_k:string,_v:string>>"
-
 GEOJSON = (
     "type string, properties struct<schemaVersion:int,title:string,bounds:array<double>>, features array<struct<type:string,"
     "properties:struct<kind:string,name:string,osmId:string,category:string,importance:int,tier:string,salience:string,street:string,streetApprox:boolean,barrierClass:string>,"

@@ -24,10 +24,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written once as Parquet and read back. by: a column of few values, each in files of its own."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
