@@ -31,8 +31,8 @@ def roads(ways: DataFrame) -> DataFrame:
     return named.select(F.col("pos").alias("road"), F.col("tags")["name"].alias("street"), F.posexplode(geo.edges_of(F.col("pts"), closed=False)).alias("at", "e")).select("road", "at", "street", F.col("e.p.lon").alias("x1"), F.col("e.p.lat").alias("y1"), F.col("e.q.lon").alias("x2"), F.col("e.q.lat").alias("y2"))
 
 
-#: Cells of the street join are so many radii wide.
-CELL_RADII = 4
+#: Cells of the street join are so many radii wide; what rounding may move, in cells.
+CELL_RADII, SLACK = 4, 0.01
 
 
 def _row(lat, cell: float) -> Column:
@@ -45,35 +45,48 @@ def _across(lon, row: Column, cell: float) -> Column:
     return geo.c(lon) * METRES_PER_DEGREE * F.cos(F.radians(widest)) / cell
 
 
-def _cell(col: Column, row: Column) -> Column:
-    """A cell as one number, which is cheaper to make distinct than a pair."""
-    return col * F.lit(1 << 32) + row
+def _columns(low, high, row: Column, cell: float, reach=0.0) -> Column:
+    return F.sequence(F.floor(_across(low, row, cell) - reach - SLACK).cast("long"), F.floor(_across(high, row, cell) + reach + SLACK).cast("long"))
+
+
+def _crossed(segments: DataFrame, cell: float) -> DataFrame:
+    """segments with each cell (gx, gy) that they cross: for every row the columns between where they enter and leave it."""
+    degrees = cell / METRES_PER_DEGREE
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = segments.withColumn("gy", F.explode(F.sequence(_row(low - SLACK * degrees, cell), _row(high + SLACK * degrees, cell))))
+    at = lambda edge: F.col("x1") + (F.col("x2") - F.col("x1")) * F.coalesce((F.least(F.greatest(edge * degrees, low), high) - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)), F.lit(0.0))
+    level = F.col("y1") == F.col("y2")
+    enter, leave = at(F.col("gy") - SLACK), at(F.col("gy") + 1 + SLACK)
+    west = F.when(level, F.least("x1", "x2")).otherwise(F.least(enter, leave))
+    east = F.when(level, F.greatest("x1", "x2")).otherwise(F.greatest(enter, leave))
+    return rows.withColumn("gx", F.explode(_columns(west, east, F.col("gy"), cell)))
 
 
 def nearest_street(pois: DataFrame, segments: DataFrame, radius: float = STREET_RADIUS_M) -> DataFrame:
     """id and street of the nearest segment of pois(id, lon, lat) within the radius; the first in the file wins a tie.
 
-    Segments, cut into steps of a cell's length, go once to every cell within a radius of them; each poi looks at its
-    own cell alone.
+    Segments go to the cells they cross. A poi first asks its own cell how near a segment is at most, and then looks in the
+    cells that are as near; so where roads are dense, few cells and few segments are left to choose from, and what has to
+    be grouped is no more than the nearest ones.
     """
     cell = CELL_RADII * radius
-    step, reach = cell / METRES_PER_DEGREE, radius / METRES_PER_DEGREE
-    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / step).cast("int"))
-
-    def touched(i: Column) -> Column:
-        on = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
-        ends = lambda a, b: (on(a, b, (i - 1) / steps), on(a, b, i / steps))
-        (xa, xb), (ya, yb) = ends("x1", "x2"), ends("y1", "y2")
-        across = lambda row: F.sequence(F.floor(_across(F.least(xa, xb), row, cell) - 1.01 / CELL_RADII), F.floor(_across(F.greatest(xa, xb), row, cell) + 1.01 / CELL_RADII))
-        rows = F.sequence(_row(F.least(ya, yb) - reach, cell), _row(F.greatest(ya, yb) + reach, cell))
-        return F.flatten(F.transform(rows, lambda row: F.transform(across(row), lambda col: _cell(col, row))))
-
-    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), steps), touched)))
-    dealt = segments.select("road", "at", "street", "x1", "y1", "x2", "y2", F.explode(cells).alias("cell"))
-    row = _row("lat", cell)
-    placed = pois.select("id", "lon", "lat", _cell(F.floor(_across("lon", row, cell)), row).alias("cell"))
-    met = placed.join(dealt, "cell").withColumn("d", geo.point_segment_m("lon", "lat", "x1", "y1", "x2", "y2")).where(F.col("d") <= radius)
-    return met.groupBy("id").agg(F.min_by("street", F.struct("d", "road", "at")).alias("street"))
+    ends = ["x1", "y1", "x2", "y2"]
+    metres = geo.point_segment_m("lon", "lat", *ends)
+    own = pois.select("id", "lon", "lat", _row("lat", cell).alias("gy")).withColumn("gx", F.floor(_across("lon", F.col("gy"), cell)).cast("long"))
+    # a minimum of numbers is kept in a hash table, while the best street would need all pairs in order
+    bound = own.join(_crossed(segments.select(ends), cell), ["gx", "gy"]).groupBy("id").agg(F.min(metres).alias("within"))
+    reach = F.least(F.lit(radius), F.coalesce("within", F.lit(radius)))
+    asking = pois.select("id", "lon", "lat").join(bound, "id", "left").withColumn("within", reach)
+    step = F.col("within") / METRES_PER_DEGREE + SLACK * cell / METRES_PER_DEGREE
+    asking = asking.withColumn("gy", F.explode(F.sequence(_row(F.col("lat") - step, cell), _row(F.col("lat") + step, cell))))
+    asking = asking.withColumn("gx", F.explode(_columns("lon", "lon", F.col("gy"), cell, F.col("within") / cell)))
+    # the line through a segment is no farther than the segment, and quickly tested
+    asking = asking.withColumn("_k", geo.METRES_PER_LON * F.cos(F.radians("lat")))
+    dx, dy = (F.col("x2") - F.col("x1")) * F.col("_k"), (F.col("y2") - F.col("y1")) * geo.METRES_PER_LAT
+    off = (F.col("x1") - F.col("lon")) * F.col("_k") * dy - (F.col("y1") - F.col("lat")) * geo.METRES_PER_LAT * dx
+    near_line = off * off <= (F.col("within") * F.col("within") + 1e-6) * (dx * dx + dy * dy)
+    met = asking.join(_crossed(segments.select("road", "at", "street", *ends), cell), ["gx", "gy"]).where(near_line & (metres <= F.col("within")))
+    return met.groupBy("id").agg(F.min_by("street", F.struct(metres.alias("d"), F.col("road"), F.col("at"))).alias("street"))
 
 
 def merged(pois: DataFrame, radius: float = MERGE_RADIUS_M) -> DataFrame:
