@@ -6,17 +6,9 @@ import math
 
 import numpy as np
 
-from ..functions.geo import METRES_PER_LAT, METRES_PER_LON, WINDS
-
 Line = list[tuple[float, float]]
 
 
-def wind(lon1: float, lat1: float, lon2: float, lat2: float) -> str:
-    a, b, d = math.radians(lat1), math.radians(lat2), math.radians(lon2 - lon1)
-    y, x = math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d)
-    return WINDS[round(((math.degrees(math.atan2(y, x)) + 360.0) % 360.0) / 45.0) % 8]
-
-
 def simplify(points: Line, tolerance: float) -> Line:
     """Douglas-Peucker: a stretch is dropped if all of it is within the tolerance of its chord."""
     xy = np.asarray(points, dtype=float)
@@ -130,63 +122,6 @@ def assemble(ways: list[Line], tolerance: float) -> tuple[list[Line], list[Line]
     return rings, lines
 
 
-def bisect(members: list[dict], target: int) -> list[list[dict]]:
-    """Pieces of at most `target` members, cut at the widest gap along the longer axis if it stands out, else in the middle."""
-    if len(members) <= target:
-        return [members]
-    n = len(members)
-    lat = sum(m["lat"] for m in members) / n
-    span = lambda axis: max(m[axis] for m in members) - min(m[axis] for m in members)
-    by_lon = span("lon") * METRES_PER_LON * math.cos(math.radians(lat)) >= span("lat") * METRES_PER_LAT
-    one, two = ("lon", "lat") if by_lon else ("lat", "lon")
-    ordered = sorted(members, key=lambda m: (m[one], m[two], m["rank"]))
-    gaps = [b[one] - a[one] for a, b in zip(ordered, ordered[1:])]
-    median = sorted(gaps)[len(gaps) // 2]
-    side = max(2, n // 5)
-    cut, widest = -1, -1.0
-    for i in range(side, n - side + 1):
-        if gaps[i - 1] > widest:
-            cut, widest = i, gaps[i - 1]
-    if not (cut > 0 and median > 0 and widest >= 2 * median):
-        cut = n // 2
-    return bisect(ordered[:cut], target) + bisect(ordered[cut:], target)
-
-
-def top(members: list[dict]) -> dict:
-    return min(members, key=lambda m: (-m["importance"], m["rank"]))
-
-
-def split_group(name: str, members: list[dict], links: list[tuple[int, int, int]], target: int) -> list[tuple[str, list[dict]]]:
-    """Named pieces of a group; links are (rank, rank, metres) in emission order. A member without a neighbour in its
-    piece moves to that of its nearest neighbour, and later members see the move."""
-    target = max(1, target)
-    members = sorted(members, key=lambda m: m["rank"])
-    if len(members) <= target:
-        return [(name, members)]
-    pieces = bisect(members, target)
-    home = {m["rank"]: i for i, piece in enumerate(pieces) for m in piece}
-    near: dict[int, list[tuple[int, int]]] = {}
-    for a, b, metres in links:
-        if a in home and b in home:
-            near.setdefault(a, []).append((b, metres))
-            near.setdefault(b, []).append((a, metres))
-    for m in members:
-        nearby = near.get(m["rank"])
-        if nearby and all(home[b] != home[m["rank"]] for b, _ in nearby):
-            to = home[min(nearby, key=lambda x: x[1])[0]]
-            pieces[home[m["rank"]]].remove(m)
-            pieces[to].append(m)
-            home[m["rank"]] = to
-    mean = lambda part, axis: sum(m[axis] for m in part) / len(part)
-    used, out = set(), []
-    for piece in sorted((p for p in pieces if p), key=lambda p: top(p)["rank"]):
-        octant = wind(mean(members, "lon"), mean(members, "lat"), mean(piece, "lon"), mean(piece, "lat"))
-        label = octant if octant not in used else f"{octant} — {top(piece)['name']}"
-        used |= {octant, label}
-        out.append((f"{name} · {label}", piece))
-    return out
-
-
 def place_labels(labels: list[dict], limit: int | None = None) -> list[bool]:
     """Greedy label placement: forced ones first, then by importance and token; a box that meets a placed one is left out.
     Each label has x, y, width, height, forced, importance and token."""
