@@ -38,6 +38,17 @@ def test_long_matches(both, letters):
         assert np.frombuffer(own.encode_batch([text])[0], "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_several_long_matches(both):
+    """Long matches of like lengths in one batch, and a short one among them."""
+    own, library = both
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60_000 + i)) for i in range(8)] + ["short"]
+    began = time.time()
+    got = own.encode_batch([" ".join(texts)])[0]
+    assert time.time() - began < 40
+    assert np.frombuffer(got, "<u4").tolist() == library.encode_ordinary(" ".join(texts))
+
+
 def test_a_megabyte_in_one_match(both):
     own, _ = both
     r = random.Random(2)

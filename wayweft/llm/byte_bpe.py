@@ -4,13 +4,12 @@ Texts are cut into chunks (white space and what follows) and chunks into the pat
 yet known are put, as byte ids, into matrices of similar length padded at the end. In each round every row finds
 its leftmost pair of minimum rank, merges it and closes the gap; the two new neighbours' ranks come from a hash
 table over pairs. Rows without a mergeable pair leave their matrix (compaction), which loses one column a round.
-A row alone in its matrix, such as a very long match, merges all places of its minimum pair in one round, up to the
+A match of more than ALONE bytes is alone in its matrix; a row alone merges all places of its minimum pair in one round, up to the
 first whose merge makes a pair of lower rank: that is what merging the leftmost one by one comes to.
 A pair's rank is the rank of its joined bytes, so the table holds every split of every vocabulary entry.
 
 Ids are the ranks themselves. No text gives a special token. Results: one row per document. A null text counts
-as empty; any text decodes to its own bytes; rows with a null id take no part; repeated ids and texts are
-ordinary rows; an empty table gives no row; other columns are ignored.
+as empty; any text decodes to its own bytes; null and repeated ids and repeated texts are ordinary rows; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +33,8 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Cells of a matrix at most, unless one row alone is longer.
 CELLS = 1 << 20
+#: Bytes of a match from which it has a matrix of its own: rounds of a shared one are as many as its longest row merges.
+ALONE = 1000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,7 +78,7 @@ class ByteBpe:
             end = at + 1
             shortest = len(pieces[order[at]])
             # a bucket's rows differ by a quarter in length at most
-            while end < len(order) and len(pieces[order[end]]) <= shortest + shortest // 4 and (end - at + 1) * len(pieces[order[end]]) <= CELLS:
+            while end < len(order) and shortest <= ALONE and len(pieces[order[end]]) <= shortest + shortest // 4 and (end - at + 1) * len(pieces[order[end]]) <= CELLS:
                 end += 1
             self._merge_bucket(order[at:end], pieces, out)
             at = end
