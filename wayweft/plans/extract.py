@@ -80,7 +80,7 @@ def write(spark: SparkSession, sf_dir: str) -> str:
     for p in parts[1:]:
         out = out.union(p)
     path = tables.folder(spark, "extract.osm")
-    blocks = 1 + spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 50_000
+    blocks = 3 + spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 50_000  # several documents at every size
     dealt = out.groupBy(F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("block")).agg(F.concat(F.lit("<osm>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit("\n</osm>")).alias("value"))
     dealt.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a document a file
     return path
