@@ -163,3 +163,21 @@ def test_null_ids_and_clear_rows(spark):
     assert sorted((r.doc_id or 0, r.lang_pred) for r in L.identify(df, PATH, held_out=9).collect()) == [(0, "en"), (0, "und"), (1, "de"), (1, "en"), (2, "und")]
     kept = L.clear(df, L.train(L.labelled(df), PATH), 0.5)
     assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == ["der hund und die katze", "the cat and the dog", "the house"]
+
+
+def test_many_languages_in_bounded_memory(monkeypatch):
+    """With 60 languages few words are summed at once and few remembered; what comes out is the same."""
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcdefghij"), size=r.integers(1, 9))) for _ in range(900)]
+    counts = {f"l{k:02}": Counter({w: 1 + int(r.integers(20)) for w in words[10 * k : 10 * k + 200]}) for k in range(60)}
+    model = L.fit(counts, dict.fromkeys(counts, 5), L.vocabulary(PATH), 1)
+    texts = [" ".join(words[i : i + 30]) for i in range(0, 900, 9)] + [None, "", "12"]
+    want = L.Scorer(model).predict(texts)
+    monkeypatch.setattr(L, "AT_ONCE", 60)
+    monkeypatch.setattr(L, "CACHE_SUMS", 3000)
+    scorer = L.Scorer(model)
+    for i, text in enumerate(texts):
+        one = scorer.predict([text])
+        assert one[0][0] == want[0][i] and math.isclose(one[1][0], want[1][i], rel_tol=1e-9)
+        assert len(scorer.rows) * 60 <= 3000 + 60 * 30 and len(scorer.table) <= 2048
+    assert L._at_once(model.languages) == 100

@@ -40,8 +40,9 @@ SMALLEST = 1e-280
 SAMPLE, ROUNDS = 400, 3
 #: Most languages that training takes.
 LANGUAGES = 1000
-#: Words a worker remembers before it starts afresh; words longer than LONG are not remembered.
-CACHE_WORDS, LONG = 800_000, 200
+#: Sums a worker remembers, one for each word and language, before it starts afresh; words longer than LONG are not
+#: remembered. Words whose sums are taken at once, times languages.
+CACHE_SUMS, LONG, AT_ONCE = 3_200_000, 200, 80_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -63,6 +64,10 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(p for p in pieces if p and _LETTERS.fullmatch(p.removeprefix("▁") or "a")))}
 
 
+def _at_once(languages: list[str]) -> int:
+    return max(100, AT_ONCE // max(1, len(languages)))
+
+
 class PieceTrie:
     """The vocabulary as a trie whose steps are looked up for many words at once."""
 
@@ -151,8 +156,8 @@ class Model:
             else:
                 by_length.setdefault((len(w) + 3) // 4, []).append(i)
         for rows in by_length.values():
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
+            for at in range(0, len(rows), at_once := _at_once(self.languages)):
+                part = rows[at : at + at_once]
                 lattice = Lattice([words[i] for i in part], self.trie)
                 totals = lattice.totals(lattice.forward(self.probability))
                 small = (totals < SMALLEST).any(axis=1)
@@ -193,7 +198,8 @@ def fit(counts: dict[str, Counter], documents: dict[str, int], vocab: dict[str,
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault((len(w) + 3) // 4, []).append(i)
-    parts = [rows[at : at + 20_000] for rows in groups.values() for at in range(0, len(rows), 20_000)]
+    at_once = _at_once(languages)
+    parts = [rows[at : at + at_once] for rows in groups.values() for at in range(0, len(rows), at_once)]
     trie = PieceTrie(vocab)
     lattices = [(Lattice([words[i] for i in rows], trie), table[rows]) for rows in parts]
     probability = np.full((len(vocab) + 1, len(languages)), 1 / (len(vocab) + 1))
@@ -214,7 +220,7 @@ def train(labelled: DataFrame, vocab_path: str, sample: int = SAMPLE, rounds: in
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language sample"), "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
 
     def count(batches):
         found: dict[str, Counter] = {}
@@ -250,8 +256,8 @@ class Scorer:
         """The language of each text, its posterior probability and the number of words."""
         found = [words_of(t) if t and self.model else [] for t in texts]
         found = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in found]  # ² and the like are no letters
-        if len(self.rows) > CACHE_WORDS:
-            self.rows = {}
+        if self.model and len(self.rows) * len(self.model.languages) > CACHE_SUMS:
+            self.rows, self.table = {}, self.table[:1024].copy()
         every = set().union(*found)
         long = {w: self.model.log_words([w])[0] for w in every if len(w) > LONG}
         self._remember([w for w in every if w not in self.rows and w not in long])
