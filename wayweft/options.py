@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 # Scene sizes by label.
 SCENE_SIZES = {"tight": 8, "standard": 14, "wide": 22}
 
@@ -26,6 +29,8 @@ class Options:
     chunking: bool = False
     scene_size: int = 14
     min_terrain_m2: float = 5000.0
+    #: The word before a whole map's title.
+    title_word: str = "MAP"
 
 
 def scene_size(label: str | None) -> int:
@@ -42,3 +47,9 @@ def parse(text: str | None) -> Options:
     if isinstance(given.get("scenesize"), str):
         found["scene_size"] = scene_size(given["scenesize"])
     return replace(Options(), **found)
+
+
+@F.pandas_udf("bidirectional boolean, inline_name boolean, preamble boolean, chunking boolean, minor_features boolean, scene_size int")
+def parsed(texts: pd.Series) -> pd.DataFrame:
+    """The options of many texts, as columns."""
+    return pd.DataFrame([{n: getattr(o, n) for n in ("bidirectional", "inline_name", "preamble", "chunking", "minor_features", "scene_size")} for o in map(parse, texts)])

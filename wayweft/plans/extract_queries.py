@@ -153,13 +153,17 @@ def component_groups(spark, d):
     return chunks.groups(points, pairs, none).select("rank", F.col("group").cast("long").alias("grp"), "base")
 
 
-_OPTIONS = [(None, False, False, True, False, False, 14), ("  ", False, False, True, False, False, 14), ('{"Bidirectional": true, "sceneSize": "tight"}', True, False, True, False, False, 8), ('{"inlineNeighborName": true, "directivePreamble": false, "chunking": true, "minorFeatures": true, "sceneSize": "wide"}', False, True, False, True, True, 22), ('{"sceneSize": "huge", "chunking": "yes"}', False, False, True, False, False, 14)]
-
-
-@query("select * from (values " + ", ".join(f"({i}, {b}, {n}, {p}, {c}, {m}, {s})" for i, (_, b, n, p, c, m, s) in enumerate(_OPTIONS)) + ") v(id, bidirectional, inline_name, preamble, chunking, minor_features, scene_size)")
+@query("""select c_custkey as id, given and c_custkey % 2 = 0 as bidirectional, given and c_custkey % 13 < 6 as inline_name, not given or c_custkey % 7 < 3 as preamble, given and c_custkey % 3 = 1 as chunking, given and c_custkey % 11 < 5 as minor_features,
+  case when given and c_custkey % 4 = 0 then 8 when given and c_custkey % 4 = 2 then 22 else 14 end as scene_size from (select *, c_custkey % 5 > 1 as given from customer)""")
 def options_json(spark, d):
-    found = [(i, (o := options.parse(text)).bidirectional, o.inline_name, o.preamble, o.chunking, o.minor_features, o.scene_size) for i, (text, *_) in enumerate(_OPTIONS)]
-    return spark.createDataFrame(found, "id int, bidirectional boolean, inline_name boolean, preamble boolean, chunking boolean, minor_features boolean, scene_size int")
+    """Options from JSON texts: none, blank ones, keys of any case, values of other types and unknown labels."""
+    k = F.col("c_custkey")
+    flag = lambda name, on: F.concat(F.lit(f'"{name}": '), on.cast("string"), F.lit(", "))
+    label = F.element_at(F.array(*map(F.lit, ("tight", "standard", "wide", "huge"))), (k % 4 + 1).cast("int"))
+    chunking = F.concat(F.lit('"CHUNKING": '), F.when(k % 3 == 0, '"yes"').otherwise((k % 3 == 1).cast("string")), F.lit(", "))
+    given = F.concat(F.lit("{"), flag("Bidirectional", k % 2 == 0), flag("inlineNeighborName", k % 13 < 6), flag("directivePreamble", k % 7 < 3), chunking, flag("minorfeatures", k % 11 < 5), F.lit('"sceneSize": "'), label, F.lit('"}'))
+    rows = synthetic.table(spark, d, "customer").select(k.alias("id"), options.parsed(F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "  ").otherwise(given)).alias("o"))
+    return rows.select("id", "o.*")
 
 
 @query(needs(f"select id, round_even(lon * 1e7, 0) / 1e7 as lon7, rtrim(rtrim(printf('%.4f', lat), '0'), '.') as lat4 from poi", "poi"))

@@ -50,13 +50,13 @@ def _edges(spark, d) -> DataFrame:
 
 
 def _pairs(spark, d) -> DataFrame:
-    """Customers and the next nine by key, as pairs of points."""
-    one = synthetic.pois(spark, d).where("segment <> 'CIVIC'").select("key", "lon", "lat")
-    two = one.select((F.col("key") - 1).alias("key"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    return one.join(two, "key")
+    """Every point and the next one of its table, by key."""
+    one = synthetic.pois(spark, d).select("key", (F.col("segment") == "CIVIC").alias("civic"), "lon", "lat")
+    two = one.select((F.col("key") - 1).alias("key"), "civic", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    return one.join(two, ["key", "civic"]).drop("civic")
 
 
-_PAIRS = "(select a.key, a.lon, a.lat, b.lon as lon2, b.lat as lat2 from poi a join poi b on a.segment <> 'CIVIC' and b.segment <> 'CIVIC' and b.key = a.key + 1)"
+_PAIRS = "(select a.key, a.lon, a.lat, b.lon as lon2, b.lat as lat2 from poi a join poi b on (a.segment = 'CIVIC') = (b.segment = 'CIVIC') and b.key = a.key + 1)"
 
 # --- scalars ---------------------------------------------------------------------------------------------------
 
