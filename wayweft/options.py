@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 # Scene sizes by label.
 SCENE_SIZES = {"tight": 8, "standard": 14, "wide": 22}
@@ -49,7 +50,11 @@ def parse(text: str | None) -> Options:
     return replace(Options(), **found)
 
 
-@F.pandas_udf("bidirectional boolean, inline_name boolean, preamble boolean, chunking boolean, minor_features boolean, scene_size int")
+_PARSED = {"bidirectional": BooleanType(), "inline_name": BooleanType(), "preamble": BooleanType(), "chunking": BooleanType(), "minor_features": BooleanType(), "scene_size": IntegerType()}
+
+
+@F.pandas_udf(StructType([StructField(*x) for x in _PARSED.items()]))
 def parsed(texts: pd.Series) -> pd.DataFrame:
     """The options of many texts, as columns."""
-    return pd.DataFrame([{n: getattr(o, n) for n in ("bidirectional", "inline_name", "preamble", "chunking", "minor_features", "scene_size")} for o in map(parse, texts)])
+    found = [parse(t) for t in texts]
+    return pd.DataFrame({n: [getattr(o, n) for o in found] for n in _PARSED})
