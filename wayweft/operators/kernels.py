@@ -30,20 +30,50 @@ def simplify(points: Line, tolerance: float) -> Line:
     return [tuple(x) for x in xy[keep].tolist()]
 
 
-def _crosses_itself(ring: Line) -> bool:
-    turn = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
-    edges = list(zip(ring, ring[1:]))
-    for i, (a, b) in enumerate(edges):
-        for c, d in edges[i + 2 : len(edges) - (i == 0)]:
-            if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
-                return True
+#: Pairs of edges compared at once.
+PAIRS = 1 << 20
+
+
+def crosses_itself(ring: Line) -> bool:
+    """Whether two edges that are no neighbours cross properly.
+
+    A sweep along the axis on which fewer edges overlap: edges in the order of their lower ends, each with those that
+    begin before it ends."""
+    xy = np.asarray(ring, dtype=float)
+    a, b = xy[:-1], xy[1:]
+    m = len(a)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    best = None
+    for axis in (0, 1):
+        order = np.argsort(low[:, axis], kind="stable")
+        until = np.searchsorted(low[order, axis], high[order, axis], side="right")
+        later = until - np.arange(m) - 1
+        if best is None or later.sum() < best[2].sum():
+            best = axis, order, later
+    axis, order, later = best
+    ends = np.cumsum(later)
+    turn = lambda o, p, q: (p[:, 0] - o[:, 0]) * (q[:, 1] - o[:, 1]) - (p[:, 1] - o[:, 1]) * (q[:, 0] - o[:, 0])
+    at = 0
+    while at < m:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        count = later[at:stop]
+        first = np.repeat(np.arange(at, stop), count)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+        i, j = order[first], order[second]
+        apart = np.abs(i - j)
+        other = 1 - axis
+        keep = (apart > 1) & (apart < m - 1) & (low[i, other] <= high[j, other]) & (low[j, other] <= high[i, other])
+        i, j = i[keep], j[keep]
+        if ((turn(a[i], b[i], a[j]) * turn(a[i], b[i], b[j]) < 0) & (turn(a[j], b[j], a[i]) * turn(a[j], b[j], b[i]) < 0)).any():
+            return True
+        at = stop
     return False
 
 
 def simplify_ring(ring: Line, tolerance: float) -> Line:
     """As simplify(); a ring that would collapse or cross itself stays as it is."""
     out = simplify(ring, tolerance)
-    return out if len(out) >= 4 and not _crosses_itself(out) else ring
+    return out if len(out) >= 4 and not crosses_itself(out) else ring
 
 
 def area(ring: Line) -> float:
@@ -51,8 +81,9 @@ def area(ring: Line) -> float:
     return abs(sum((a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0) for a, b in zip(ring, ring[1:]))) / 2
 
 
-def hull(points: Line) -> Line | None:
-    """The closed convex hull, counter-clockwise; None for fewer than three distinct points or a line."""
+def extremes(points: Line) -> Line:
+    """The corners of the convex hull, counter-clockwise from the least; of points on a line its ends. The extremes of
+    several sets' extremes are those of all their points."""
     todo = sorted(set(points))
     half: list[Line] = []
     for run in (todo, todo[::-1]):
@@ -62,8 +93,13 @@ def hull(points: Line) -> Line | None:
                 out.pop()
             out.append(p)
         half.append(out[:-1])
-    ring = half[0] + half[1]
-    return [*ring, ring[0]] if len(todo) > 2 and len(ring) > 2 else None
+    return (half[0] + half[1]) or todo
+
+
+def hull(points: Line) -> Line | None:
+    """The closed convex hull; None for fewer than three distinct points or a line."""
+    ring = extremes(points)
+    return [*ring, ring[0]] if len(ring) > 2 else None
 
 
 def merge_lines(ways: list[Line]) -> list[Line]:

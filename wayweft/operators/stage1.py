@@ -161,6 +161,25 @@ def hull_of(points: pd.Series) -> pd.Series:
     return points.map(lambda pts: _records(h) if pts is not None and (h := kernels.hull(_pairs(pts))) else None)
 
 
+def hulls(rows: DataFrame, key: str) -> DataFrame:
+    """key and pts, the closed hull of all points of rows(key, pts). Every row, and every task's rows of a key, give only
+    their corners; keys without an area are left out."""
+
+    def corners(batches):
+        for frame in batches:
+            found: dict = {}
+            for k, pts in zip(frame[key], frame["pts"]):
+                some = found.setdefault(k, [])
+                some += _pairs(pts)
+                if len(some) > 10_000:
+                    found[k] = kernels.extremes(some)
+            yield pd.DataFrame({key: list(found), "pts": [[{"lon": x, "lat": y} for x, y in kernels.extremes(p)] for p in found.values()]})
+
+    kind = rows.schema[key].dataType
+    own = rows.where("size(pts) > 0").select(key, "pts").mapInPandas(corners, StructType([StructField(key, kind), StructField("pts", _POINTS)]))
+    return own.groupBy(key).agg(hull_of(F.flatten(F.collect_list("pts"))).alias("pts")).where("pts is not null")
+
+
 def _pairs(pts) -> list[tuple[float, float]]:
     return [(p["lon"], p["lat"]) for p in pts]
 
@@ -174,7 +193,6 @@ def relation_shapes(relations: DataFrame, ways: DataFrame, points: DataFrame) ->
     steps = relations.select("id", F.posexplode("members").alias("m_at", "m")).select("id", "m_at", F.col("m.ref").alias("way"), F.col("m.role").alias("role"))
     lines = steps.join(ways.select(F.col("id").alias("way"), "pts"), "way")
     outer = lines.where("role <> 'inner' and size(pts) >= 2").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m_at", "pts"))), lambda s: s["pts"]).alias("ways"))
-    every = lines.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("pts"))).alias("all"))
     made = StructType([StructField("rings", ArrayType(_POINTS)), StructField("lines", ArrayType(_POINTS))])
 
     @F.pandas_udf(made)
@@ -182,12 +200,13 @@ def relation_shapes(relations: DataFrame, ways: DataFrame, points: DataFrame) ->
         found = [kernels.assemble([_pairs(w) for w in ways], TOLERANCE_DEG) if ways is not None else ([], []) for ways in groups]
         return pd.DataFrame({"rings": [[_records(r) for r in rings] for rings, _ in found], "lines": [[_records(x) for x in lines] for _, lines in found]})
 
-    rows = relations.join(outer, "id", "left").join(every, "id", "left").withColumn("made", assembled("ways"))
-    part = lambda array, sign: rows.select("id", "kind", "name", "made", "all", F.posexplode(array).alias("k", "pts")).withColumn("osm_id", F.concat(F.lit("r"), "id", F.lit(f"-{sign}"), "k"))
+    rows = relations.join(outer, "id", "left").withColumn("made", assembled("ways"))
+    part = lambda array, sign: rows.select("id", "kind", "name", "made", F.posexplode(array).alias("k", "pts")).withColumn("osm_id", F.concat(F.lit("r"), "id", F.lit(f"-{sign}"), "k"))
     columns = ["osm_id", "kind", "name", "geom_type", "pts"]
     rings = part(F.col("made.rings"), "").withColumn("geom_type", F.lit("Polygon")).select(columns)
     shores = part(F.when(F.size("made.rings") == 0, F.col("made.lines")), "L").withColumn("geom_type", F.lit("LineString")).select(columns)
-    none = rows.where((F.size("made.rings") == 0) & (F.size("made.lines") == 0)).withColumn("osm_id", F.concat(F.lit("r"), "id")).withColumn("geom_type", F.lit("Polygon")).withColumn("pts", hull_of("all")).where("pts is not null").select(columns)
+    none = rows.where((F.size("made.rings") == 0) & (F.size("made.lines") == 0)).join(hulls(lines.select("id", "pts"), "id"), "id")
+    none = none.withColumn("osm_id", F.concat(F.lit("r"), "id")).withColumn("geom_type", F.lit("Polygon")).select(columns)
     return rings.union(shores).union(none)
 
 
