@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import geo, text
 from ..operators import chunks as chunking
-from ..operators import classify, graph, promote, render, stage1, summary
+from ..operators import classify, graph, partition, promote, render, stage1, summary
 from ..operators.nearest import nearest_k
 from ..options import Options
 from . import document_oracles, extract, model, oracles, synthetic
@@ -45,6 +46,12 @@ def _minors(spark, d) -> DataFrame:
     return promote.minor_table(_placed(spark, d))
 
 
+def _both(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Promoted features and minors, with promotion decided once."""
+    placed = tables.materialise(_placed(spark, d), "placed")
+    return tables.materialise(promote.promoted_table(placed), "promoted"), promote.minor_table(placed)
+
+
 def _edges(spark, d) -> DataFrame:
     return graph.edges(_promoted(spark, d), synthetic.features(spark, d), Options())
 
@@ -308,7 +315,7 @@ def spine_order(spark, d):
 
 @query(needs("select row_number() over (order by count(*) desc, t.district) as ord, t.district as name, any_value(dominant_street) as street, any_value(s.spine_dir) as spine_dir, count(*) as promoted_count, coalesce(any_value(m.n), 0) as clustered_count, coalesce(any_value(m.props), 0) as prop_count from tok t left join main_street using (district) join spine s on s.district = t.district left join (select district, count(*) as n, count(*) filter (where not named) as props from minor group by district) m on m.district = t.district group by t.district", "tok", "main_street", "spine", "minor"))
 def district_summary(spark, d):
-    rows = summary.districts(_promoted(spark, d), _minors(spark, d), synthetic.places(spark, d), Options())
+    rows = summary.districts(*_both(spark, d), synthetic.places(spark, d), Options())
     return rows.select("ord", "name", "street", "spine_dir", "promoted_count", "clustered_count", "prop_count")
 
 
@@ -343,8 +350,9 @@ def _model(spark, d) -> model.Model:
 
 @query(needs(f"select id as pos, rank from (select m.id, p.rank, row_number() over (partition by m.id order by {haversine('m.lon', 'm.lat', 'p.lon', 'p.lat')}, p.rank) as rn from minor m cross join prom p) where rn = 1", "minor", "prom"))
 def minor_to_chunk(spark, d):
-    points = _promoted(spark, d).select(F.col("rank").alias("ord"), "lon", "lat")
-    return nearest_k(_minors(spark, d).select(F.col("pos").alias("id"), "lon", "lat"), points).select(F.col("id").alias("pos"), F.col("ord").alias("rank"))
+    promoted, minors = _both(spark, d)
+    points = promoted.select(F.col("rank").alias("ord"), "lon", "lat")
+    return nearest_k(minors.select(F.col("pos").alias("id"), "lon", "lat"), points).select(F.col("id").alias("pos"), F.col("ord").alias("rank"))
 
 
 def _district_homes(points: DataFrame) -> DataFrame:
@@ -367,14 +375,25 @@ def chunk_terrain_overlap(spark, d):
 
 @query(needs("select district, n, case when m > 0 and widest >= 2 * m then cut else n // 2 end as cut from (select district, any_value(n) as n, list_sort(list(gap) filter (where gap is not null))[1 + (any_value(n) - 1) // 2] as m, max(gap) filter (where i between side and n - side) as widest, min_by(i, (-gap, i)) filter (where i between side and n - side) as cut from (select district, n, i, gap, greatest(2, n // 5) as side from (select district, count(*) over (partition by district) as n, row_number() over w - 1 as i, lon - lag(lon) over w as gap from tok window w as (partition by district order by lon, lat, rank))) group by district)", "tok"))
 def gap_cut(spark, d):
-    """One level of the bisection along the longitude."""
-    w = Window.partitionBy("district").orderBy("lon", "lat", "rank")
-    rows = _promoted(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("district"))).withColumn("i", F.row_number().over(w) - 1).withColumn("gap", F.col("lon") - F.lag("lon").over(w))
-    rows = rows.withColumn("side", F.greatest(F.lit(2), F.floor(F.col("n") / 5)))
-    ok = F.col("i").between(F.col("side"), F.col("n") - F.col("side"))
-    by = rows.groupBy("district").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("gap")).alias("gaps"), F.max(F.when(ok, F.struct("gap", (-F.col("i")).alias("i")))).alias("best"))
-    median = F.get("gaps", F.floor((F.col("n") - 1) / 2).cast("int"))
-    return by.select("district", "n", F.when((median > 0) & (F.col("best.gap") >= 2 * median), -F.col("best.i")).otherwise(F.floor(F.col("n") / 2)).cast("long").alias("cut"))
+    """One level of the bisection, along the longitude."""
+    w = Window.partitionBy("district")
+    rows = _promoted(spark, d).select(F.col("district").alias("group"), F.lit("").alias("path"), F.count(F.lit(1)).over(w).alias("n"), F.col("lon").alias("one"), (F.row_number().over(w.orderBy("lon", "lat", "rank")) - 1).cast("long").alias("i"))
+    sizes = rows.select("group", "n").distinct()
+    return partition.cuts(tables.materialise(rows, "gap-places"), False).join(sizes, "group").select(F.col("group").alias("district"), "n", F.col("cut").cast("long").alias("cut"))
+
+
+@query(needs("""with p as (select district, cast(round_even(lon * 1e7, 0) as bigint) as x, cast(round_even(lat * 1e7, 0) as bigint) as y from tok), u as (select distinct * from p),
+  e as (select a.district, a.x as px, a.y as py, b.x as qx, b.y as qy from u a join u b on a.district = b.district and (a.x, a.y) <> (b.x, b.y)),
+  h as (select * from e where not exists (select 1 from u r where r.district = e.district and ((qx - px) * (r.y - py) - (qy - py) * (r.x - px) < 0
+    or ((qx - px) * (r.y - py) - (qy - py) * (r.x - px) = 0 and ((r.x - px) * (qx - px) + (r.y - py) * (qy - py) < 0 or (r.x - qx) * (qx - px) + (r.y - qy) * (qy - py) > 0)))))
+  select district, count(*) as corners, cast(sum(px::hugeint * qy - qx::hugeint * py) // 1000000 as bigint) as area from h group by district having count(*) > 2""", "tok").replace("with recursive ", "with recursive ", 1).replace(" with p as ", ", p as ", 1))
+def district_hulls(spark, d):
+    """The hull of every district's features, from parts: its corners, and twice its area."""
+    whole = lambda axis: F.rint(F.col(axis) * 1e7)
+    rows = _promoted(spark, d).select("district", F.array(geo.point(whole("lon"), whole("lat"))).alias("pts"))
+    cross = lambda e: e["p"]["lon"].cast("decimal(20,0)") * e["q"]["lat"].cast("decimal(20,0)") - e["q"]["lon"].cast("decimal(20,0)") * e["p"]["lat"].cast("decimal(20,0)")
+    area = F.aggregate(geo.edges_of(F.col("pts"), closed=False), F.lit(0).cast("decimal(38,0)"), lambda s, e: (s + cross(e)).cast("decimal(38,0)"))
+    return stage1.hulls(rows, "district").select("district", (F.size("pts") - 1).cast("long").alias("corners"), F.floor(area / 1000000).cast("long").alias("area"))
 
 
 @query(document_oracles.CHUNKS)
@@ -396,13 +415,11 @@ def slug_unique(spark, d):
     return chunking.unique_slugs(rows).select(F.col("ord").alias("key"), "slug")
 
 
-@query(needs(f"select rank, case when rn > 1 then oct || ' — ' || shown else oct end as label from (select *, row_number() over (partition by district, oct order by rank) as rn from (select t.*, {wind('clon', 'clat', 'lon', 'lat')} as oct from tok t join centre using (district)))", "tok", "centre"))
+@query(needs(f"select rank, district || ' · ' || case when rn > 1 then oct || ' — ' || shown else oct end as chunk from (select *, row_number() over (partition by district, oct order by rank) as rn from (select t.*, {wind('clon', 'clat', 'lon', 'lat')} as oct from tok t join centre using (district)))", "tok", "centre"))
 def octant_names(spark, d):
-    points = _promoted(spark, d)
-    centre = points.groupBy("district").agg(F.avg("lon").alias("clon"), F.avg("lat").alias("clat"))
-    rows = points.join(centre, "district").withColumn("octant", geo.eight_wind("clon", "clat", "lon", "lat"))
-    nth = F.row_number().over(Window.partitionBy("district", "octant").orderBy("rank"))
-    return rows.withColumn("n", nth).select("rank", F.when(F.col("n") > 1, F.concat("octant", F.lit(" — "), "name")).otherwise(F.col("octant")).alias("label"))
+    """Names of pieces, every feature being one."""
+    homes = tables.materialise(_promoted(spark, d).withColumn("group", F.col("district")).withColumn("base", F.col("district")).withColumn("path", F.col("rank").cast("string")), "octant-homes")
+    return partition.names(homes).select(F.col("path").cast("long").alias("rank"), "chunk")
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
