@@ -54,3 +54,19 @@ def test_hulls_of_parts(spark):
     got = {x.id: [(p.lon, p.lat) for p in x.pts] for x in stage1.hulls(df, "id").collect()}
     assert got == {k: h for k, p in points.items() if (h := kernels.hull(p))} and set(got) == set(range(5))
     assert stage1.hulls(df.where("false"), "id").collect() == []
+
+
+def test_labels_one_by_one(spark):
+    from wayweft.operators import labels
+
+    r = random.Random(2)
+    rows = [(f"t{i:03}", r.randrange(300), r.randrange(200), r.randrange(5, 60), 12, i % 41 == 0, r.randrange(4)) for i in range(250)]
+    df = spark.createDataFrame(rows, "token string, x int, y int, width int, height int, forced boolean, importance int").repartition(3)
+    for limit in (None, 20):
+        kept = []
+        for t, x, y, w, h, forced, _ in sorted(rows, key=lambda a: (not a[5], -a[6], a[0])):
+            free = all(x + w <= a or a + c <= x or y + h <= b or b + d <= y for _, a, b, c, d in kept)
+            if forced or (free and (limit is None or len(kept) < limit)):
+                kept.append((t, x, y, w, h))
+        assert sorted(x.token for x in labels.placed(df, limit).collect()) == sorted(k[0] for k in kept)
+    assert labels.placed(df.where("false")).collect() == []

@@ -95,7 +95,6 @@ def test_kernels():
     rings, lines = kernels.assemble([[(0, 0), (4, 0)], [(4, 0), (4, 2)]], 1e-9)
     assert not rings and len(lines) == 1
     assert kernels.simplify([(0, 0), (1, 0.00001), (2, 0)], 0.000045) == [(0, 0), (2, 0)]
-    assert kernels.place_labels([{"x": 0, "y": 0, "width": 5, "height": 5, "forced": False, "importance": 1, "token": "b"}, {"x": 2, "y": 2, "width": 5, "height": 5, "forced": False, "importance": 2, "token": "a"}]) == [False, True]
 
 
 XML = """<osm>

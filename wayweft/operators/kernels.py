@@ -156,18 +156,3 @@ def assemble(ways: list[Line], tolerance: float) -> tuple[list[Line], list[Line]
         elif line[0] != line[-1] or len(line) < 4:
             lines.append(rounded(simplify(line, tolerance)))
     return rings, lines
-
-
-def place_labels(labels: list[dict], limit: int | None = None) -> list[bool]:
-    """Greedy label placement: forced ones first, then by importance and token; a box that meets a placed one is left out.
-    Each label has x, y, width, height, forced, importance and token."""
-    order = sorted(range(len(labels)), key=lambda i: (not labels[i]["forced"], -labels[i]["importance"], labels[i]["token"]))
-    placed: list[dict] = []
-    out = [False] * len(labels)
-    for i in order:
-        a = labels[i]
-        free = all(a["x"] >= b["x"] + b["width"] or b["x"] >= a["x"] + a["width"] or a["y"] >= b["y"] + b["height"] or b["y"] >= a["y"] + a["height"] for b in placed)
-        if a["forced"] or (free and (limit is None or len(placed) < limit)):
-            placed.append(a)
-            out[i] = True
-    return out

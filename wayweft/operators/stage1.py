@@ -102,7 +102,7 @@ def merged(pois: DataFrame, radius: float = MERGE_RADIUS_M) -> DataFrame:
     one, two = _near(named, named, radius, ["k", "name"])
     earlier = F.struct((-F.col("imp")).alias("i"), "osm_id", "_id") < F.struct((-F.col("o_imp")).alias("i"), F.col("o_osm_id").alias("osm_id"), F.col("o_id").alias("_id"))
     before = tables.materialise(one.join(two, ["k", "name", "gx", "gy"]).where(earlier & _within(radius)).select(F.col("o_id").alias("later"), F.col("_id").alias("first")).distinct(), "merge-pairs")
-    gone = _settled(before)
+    gone = settled(before)
     kept_named = named.join(gone, "_id", "left_anti")
     one, two = _near(kept_named, own.where("name is null"), radius, ["k"])
     folded = one.join(two, ["k", "gx", "gy"]).where(_within(radius)).select(F.col("o_id").alias("_id")).distinct()
@@ -125,7 +125,7 @@ def _near(left: DataFrame, right: DataFrame, radius: float, keys: list[str]) ->
     return one, two
 
 
-def _settled(before: DataFrame) -> DataFrame:
+def settled(before: DataFrame) -> DataFrame:
     """_id of the rows that fold: those with a kept earlier neighbour. before(later, first)."""
     gone = before.select(F.col("later").alias("_id")).limit(0)
     open_ = before

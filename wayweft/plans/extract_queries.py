@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import options, tables
 from ..functions import geo, text
-from ..operators import chunks, graph, stage1
+from ..operators import chunks, graph, labels, stage1
 from ..sources import geojson, osm, writers
 from . import extract, normalize, oracles, synthetic
 from .oracles import needs
@@ -179,6 +179,22 @@ def view_fit(spark, d):
     return synthetic.pois(spark, d).select("id", at.alias("at")).select("id", F.rint(F.col("at.x") + 0.137).cast("long").alias("x"), F.rint(F.col("at.y") + 0.137).cast("long").alias("y"))
 
 
+_LABEL = """label as (select rank, name, x, y, 6 * length(name) as w, row_number() over (order by rank % 97 = 0 desc, importance desc, rank) as nth, rank % 97 = 0 as forced from (select rank, shown as name, importance,
+    cast(round_even((800 - sx * scale) / 2 + (lon + 1205e-1) * squeeze * scale + 137e-3, 0) as bigint) as x, cast(round_even((600 - sy * scale) / 2 + (4555e-2 - lat) * scale + 137e-3, 0) as bigint) as y
+    from (select *, least((800 - 48) / sx, (600 - 48) / sy) as scale from (select *, 5e-2 * squeeze as sx, 5e-2 as sy from (select *, cos(radians(45525e-3)) as squeeze from tok))))),
+  greedy(nth, kept) as (select 0::bigint, []::struct(x bigint, y bigint, w bigint)[] union all
+    select g.nth + 1, case when l.forced or len(list_filter(g.kept, lambda k: k.x < l.x + l.w and l.x < k.x + k.w and k.y < l.y + 12 and l.y < k.y + 12)) = 0 then list_append(g.kept, {'x': l.x, 'y': l.y, 'w': l.w}) else g.kept end from greedy g join label l on l.nth = g.nth + 1)"""
+
+
+@query(needs("select rank, x, y from label join (select nth, len(kept) > len(lag(kept) over (order by nth)) as stays from greedy) using (nth) where stays", "tok").replace(" select rank, x, y from label", f", {_LABEL} select rank, x, y from label", 1))
+def label_places(spark, d):
+    """Which names of features have room in a view of 800 by 600."""
+    at = geo.equirectangular_fit("lon", "lat", synthetic.bounds(), 800.0, 600.0)
+    rows = _promoted(spark, d).select("rank", "name", "importance", at.alias("at"))
+    boxes = rows.select("rank", F.col("rank").alias("token"), F.rint(F.col("at.x") + 0.137).cast("long").alias("x"), F.rint(F.col("at.y") + 0.137).cast("long").alias("y"), (F.length("name") * 6).alias("width"), F.lit(12).alias("height"), (F.col("rank") % 97 == 0).alias("forced"), "importance")
+    return labels.placed(boxes).select("rank", "x", "y")
+
+
 @query(needs("select dst as token_rank, string_agg(src, ',' order by src) as neighbours from pair group by dst", "pair"))
 def neighbours_of(spark, d):
     """The neighbours of every feature, as a detail view lists them."""
