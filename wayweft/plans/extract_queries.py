@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import options, tables
 from ..functions import geo, text
-from ..operators import chunks, graph, labels, stage1
+from ..operators import chunks, graph, labels, stage1, view
+from ..options import Options
 from ..sources import geojson, osm, writers
-from . import extract, normalize, oracles, synthetic
+from . import extract, model, normalize, oracles, synthetic
 from .oracles import needs
-from .queries import _promoted, _ways, query
+from .queries import _both, _edges, _model, _promoted, _ways, query
 
 oracles.CTES.update(extract.CTES)
 oracles.NEEDS.update(extract.NEEDS)
@@ -208,3 +209,39 @@ def undirected_pairs(spark, d):
     """Each drawable edge once."""
     pairs = graph.knn_pairs(_promoted(spark, d), 3).withColumn("ord", F.lit(1))
     return graph.one_way(pairs).select(F.col("src").alias("one"), F.col("dst").alias("other"))
+
+
+@query(needs("select t.rank, token, shown as name, category, street, district, importance, neighbours from tok t left join (select src as rank, string_agg(to_token || ' ' || to_name || ' — ' || meters || 'm ' || dir || ' · ' || bucket, chr(10) order by ord) as neighbours from edge group by src) using (rank)", "tok", "edge"))
+def feature_details(spark, d):
+    return view.details(_promoted(spark, d), _edges(spark, d)).drop("tier")
+
+
+@query(needs("select least(src, dst) as one, greatest(src, dst) as other, arg_min(meters, (src, ord)) as meters from edge where src % 10 > 0 and dst % 10 > 0 group by all", "edge"))
+def drawable_edges(spark, d):
+    """With every tenth feature hidden, the edges that can still be drawn."""
+    return view.drawable(_edges(spark, d), _promoted(spark, d).where("rank % 10 > 0"))
+
+
+@query(needs("select id as pos, shown as name, case when named then 'minors' else 'props' end as layer from minor", "minor"))
+def minor_layers(spark, d):
+    return view.layers(_both(spark, d)[1]).select("pos", "name", "layer")
+
+
+_BOX_OF = "(select coalesce(min(lon), -1e0) as west, coalesce(min(lat), -1e0) as south, coalesce(max(lon), 1e0) as east, coalesce(max(lat), 1e0) as north from ({}))".format
+_EVERYWHERE = "select lon, lat from prom union all select lon, lat from minor union all select p.lon, p.lat from (select unnest(pts) as p from shape)"
+
+
+@query(needs(f"select 'all' as of, * from {_BOX_OF(_EVERYWHERE)} union all select 'none', * from {_BOX_OF('select lon, lat from prom where false')}", "prom", "minor", "shape"))
+def view_bounds(spark, d):
+    """The box of everything a view shows, and that of nothing."""
+    promoted, minors = _both(spark, d)
+    shapes = synthetic.features(spark, d).where("kind not in ('poi', 'place')").select(F.explode("pts").alias("p")).select("p.lon", "p.lat")
+    named = lambda of, box: box.select(F.lit(of).alias("of"), "*")
+    return named("all", view.bounds_of(promoted, minors, shapes)).union(named("none", view.bounds_of(promoted.limit(0))))
+
+
+@query(needs("select unnest(tokens) as token, slug from aslug", "aslug"))
+def token_chunks(spark, d):
+    """The chunk that a view opens for each feature."""
+    parts = model.partition(_model(spark, d), Options(chunking=True, scene_size=8))
+    return view.chunk_of_token(parts.chunks)
