@@ -111,3 +111,12 @@ def test_contract_cases(spark):
     assert got == {c: (cost, audit) for c, (_, cost, audit) in cases.items()}
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert R.reports(R.damaged(empty)).collect() == [] and R.repaired(R.plain(empty)).collect() == []
+
+
+def test_the_given_table(spark):
+    from wayweft.llm import registry
+
+    d = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = {r.conv_id: tuple(r)[1:] for r in registry.QUERIES["op13_conversation_repair"](spark, d).collect()}
+    assert got == {c: x[0] for c, x in expected(rows, True).items()}

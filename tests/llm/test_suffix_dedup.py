@@ -105,3 +105,11 @@ def test_parts_keep_equal_windows_together():
         assert all(len(x) == 1 for x in (*routes[0].values(), *routes[1].values()))
         both = set(routes[0]) & set(routes[1])
         assert both and all(routes[0][w] == routes[1][w] for w in both)
+
+
+def test_the_given_table(spark):
+    from wayweft.llm import registry
+
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(tuple(r) for r in registry.QUERIES["op11_suffix_dedup"](spark, d).collect()) == sorted(brute(rows, 400))
