@@ -9,8 +9,8 @@ from ..functions import geo, text
 from ..options import Options
 from .nearest import nearest_k
 
-#: Steps into which a long segment is cut when it is dealt to grid cells, at most this many cells each.
-CELLS_A_STEP = 4
+#: What rounding may move, in cells.
+SLACK = 1e-6
 
 
 def knn_pairs(points: DataFrame, k: int) -> DataFrame:
@@ -37,19 +37,15 @@ def lines_of(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def in_cells(rows: DataFrame, x1: str, y1: str, x2: str, y2: str, cell: float) -> DataFrame:
-    """rows for each grid cell (gx, gy) that the box of a step of the segment touches."""
-    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col(x2) - F.col(x1)), F.abs(F.col(y2) - F.col(y1))) / (cell * CELLS_A_STEP)).cast("int"))
-
-    def boxes(i: Column) -> Column:
-        t0, t1 = (i - 1) / steps, i / steps
-        span = lambda a, b: (F.col(a) + (F.col(b) - F.col(a)) * t0, F.col(a) + (F.col(b) - F.col(a)) * t1)
-        (xa, xb), (ya, yb) = span(x1, x2), span(y1, y2)
-        low = lambda a, b: F.floor(F.least(a, b) / cell - 1e-6).cast("int")
-        high = lambda a, b: F.floor(F.greatest(a, b) / cell + 1e-6).cast("int")
-        return F.flatten(F.transform(F.sequence(low(xa, xb), high(xa, xb)), lambda gx: F.transform(F.sequence(low(ya, yb), high(ya, yb)), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
-
-    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), steps), boxes)))
-    return rows.select(*rows.columns, F.inline(cells))
+    """rows for each grid cell (gx, gy) that the segment touches, once: in every row the columns between where it enters
+    and leaves the row."""
+    at = lambda v, slack: F.floor(v / cell + slack).cast("int")
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    rising = F.nullif(F.col(y2) - F.col(y1), F.lit(0.0))
+    x_at = lambda y: F.col(x1) + (F.col(x2) - F.col(x1)) * (F.least(F.greatest(y * cell, low), high) - F.col(y1)) / rising
+    one, two = F.coalesce(x_at(F.col("gy") - SLACK), x1), F.coalesce(x_at(F.col("gy") + 1 + SLACK), x2)
+    across = rows.withColumn("gy", F.explode(F.sequence(at(low, -SLACK), at(high, SLACK))))
+    return across.withColumn("gx", F.explode(F.sequence(at(F.least(one, two), -SLACK), at(F.greatest(one, two), SLACK)))).select(*rows.columns, "gx", "gy")
 
 
 def crossed_labels(ends: DataFrame, barriers: DataFrame, cell: float = 0.005) -> DataFrame:
@@ -66,17 +62,60 @@ def water_crossings(ends: DataFrame, features: DataFrame, water_edges: DataFrame
     return crossing.union(inside).distinct()
 
 
+#: Runs of cells inside a ring are cut to powers of this many columns; a world of cells has no longer runs.
+RUN, RUN_LEVELS = 8, 6
+
+
 def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = 0.005) -> DataFrame:
-    """rank of the points(rank, lon, lat) inside a ring: the parity of the ring's edges to the point's east.
+    """rank of the points(rank, lon, lat) inside a ring (even-odd, a point on an edge as the ray to its east decides).
 
-    Edges are dealt to the latitude bands they span, so each point meets the edges of its own band alone.
+    Every ring labels the cells of each row from the east: those its edges touch, and between them runs of cells wholly
+    inside. A point in such a run needs no edge. One beside an edge starts from the place on its row's lower line straight
+    below or above: the crossings of that line in columns farther east come as one number, those of the own cell one by
+    one, and every edge of the cell between the point and that place turns the answer. So a point meets its own cell's
+    edges alone, however long the shore and its row are.
     """
-    band = lambda y: F.floor(y / cell).cast("int")
-    edges = rings.select(F.col("pos").alias("ring"), F.explode(geo.edges_of(F.col("pts"))).alias("e")).select("ring", F.col("e.q.lon").alias("ix"), F.col("e.q.lat").alias("iy"), F.col("e.p.lon").alias("jx"), F.col("e.p.lat").alias("jy"))
-    dealt = edges.where("iy <> jy").select("*", F.explode(F.sequence(band(F.least("iy", "jy")), band(F.greatest("iy", "jy")))).alias("band"))
-    met = points.withColumn("band", band(F.col("lat"))).join(dealt, "band")
-    hit = ((F.col("iy") > F.col("lat")) != (F.col("jy") > F.col("lat"))) & (F.col("lon") < (F.col("jx") - F.col("ix")) * (F.col("lat") - F.col("iy")) / (F.col("jy") - F.col("iy")) + F.col("ix"))
-    return met.where(hit).groupBy("rank", "ring").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("rank").distinct()
+    band = lambda v: F.floor(v / cell).cast("int")
+    east_of = lambda lat: (F.col("jx") - F.col("ix")) * (lat - F.col("iy")) / F.nullif(F.col("jy") - F.col("iy"), F.lit(0.0)) + F.col("ix")
+    line = F.col("gy") * F.lit(cell)
+    shores = rings.select(F.col("pos").alias("ring"), F.explode(geo.edges_of(F.col("pts"))).alias("e")).select("ring", F.col("e.q.lon").alias("ix"), F.col("e.q.lat").alias("iy"), F.col("e.p.lon").alias("jx"), F.col("e.p.lat").alias("jy"))
+    touched = in_cells(shores, "ix", "iy", "jx", "jy", cell)
+    rows = F.sequence(band(F.least("iy", "jy")), band(F.greatest("iy", "jy")) + 1)
+    met_lines = shores.where("iy <> jy").withColumn("gy", F.explode(rows)).where((F.col("iy") > line) != (F.col("jy") > line)).withColumn("gx", band(east_of(line)))
+    keys = ["ring", "gy", "gx"]
+    cells = touched.select(*keys, F.lit(0).alias("n")).union(met_lines.select(*keys, F.lit(1).alias("n"))).groupBy(keys).agg(F.sum("n").alias("n"))
+    eastward = Window.partitionBy("ring", "gy").orderBy(F.desc("gx"))
+    cells = cells.select(*keys, "n", (F.sum("n").over(eastward) - F.col("n")).alias("beyond"), F.lag("gx").over(eastward).alias("next"))
+    runs = cells.where("next > gx + 1 and beyond % 2 = 1").select("gy", (F.col("gx") + 1).alias("low"), (F.col("next") - 1).alias("high"))
+    inside = _in_runs(points.select("rank", band(F.col("lat")).alias("gy"), band(F.col("lon")).alias("gx")), runs)
+    # what a point by an edge adds up: the lines beyond, the lines of its cell to its east, the edges on its way
+    ends = ["ix", "iy", "jx", "jy"]
+    void = [F.lit(None).cast("double").alias(e) for e in ends]
+    items = cells.select(*keys, F.lit(0).alias("item"), "beyond", *void).union(met_lines.select(*keys, F.lit(1), F.lit(0), *ends)).union(touched.select(*keys, F.lit(2), F.lit(0), *ends))
+    lon, lat = F.col("lon"), F.col("lat")
+    level = F.col("iy") == F.col("jy")
+    parted = F.when(level, (F.col("iy") > line) != (F.col("iy") > lat)).otherwise((lon < east_of(line)) != (lon < east_of(lat)))
+    turns = ((F.col("ix") > lon) != (F.col("jx") > lon)) & parted
+    adds = F.when(F.col("item") == 0, F.col("beyond")).when(F.col("item") == 1, (lon < east_of(line)).cast("long")).otherwise(turns.cast("long"))
+    near = points.withColumn("gy", band(lat)).withColumn("gx", band(lon)).join(items, ["gx", "gy"])
+    return inside.union(near.groupBy("rank", "ring").agg(F.sum(adds).alias("n")).where("n % 2 = 1").select("rank")).distinct()
+
+
+def _in_runs(at: DataFrame, runs: DataFrame) -> DataFrame:
+    """rank of at(rank, gy, gx) in one of runs(gy, low, high): runs are cut to aligned pieces of powers of RUN columns, and
+    a column lies in one piece of each size."""
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(RUN_LEVELS - 1))).alias("size")
+    width = F.pow(F.lit(float(RUN)), "size")
+    # the widest pieces that fit stay whole, and what they leave on both sides is cut to the next smaller ones
+    fits = lambda w: (F.ceil(F.col("low") / w), F.floor((F.col("high") + 1) / w))
+    cut = runs.select("gy", "low", "high", sizes)
+    cut = cut.select("gy", "size", *[c.alias(name) for c, name in zip((*fits(width), *fits(width * RUN)), ("first", "past", "up", "down"))])
+    some = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = (F.col("size") == RUN_LEVELS - 1) | (F.col("up") > F.col("down"))
+    sides = F.concat(some(F.col("first"), F.col("up") * RUN), some(F.col("down") * RUN, F.col("past")))
+    pieces = cut.select("gy", "size", F.explode(F.when(whole, some(F.col("first"), F.col("past"))).otherwise(sides)).alias("piece")).distinct()
+    asked = at.select("rank", "gy", "gx", sizes).withColumn("piece", F.floor(F.col("gx") / width))
+    return asked.join(pieces, ["gy", "size", "piece"], "left_semi").select("rank")
 
 
 def edges(points: DataFrame, features: DataFrame, options: Options) -> DataFrame:
