@@ -90,10 +90,11 @@ def test_streets_against_brute_force(spark):
 def test_kernels():
     square = [(0, 0), (1, 0), (1, 1), (0, 1)]
     assert kernels.hull([*square, (0.5, 0.5)]) == [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)] and kernels.hull([(0, 0), (1, 1), (2, 2)]) is None
-    rings, lines = kernels.assemble([[(0, 0), (4, 0), (4, 2)], [(0, 0), (0, 4), (2, 4)], [(4, 2), (2, 2), (2, 4)]], 1e-9)
-    assert not lines and len(rings) == 1 and kernels.area(rings[0]) == 12
-    rings, lines = kernels.assemble([[(0, 0), (4, 0)], [(4, 0), (4, 2)]], 1e-9)
-    assert not rings and len(lines) == 1
+    (line,) = kernels.merge_lines([[(0, 0), (4, 0), (4, 2)], [(0, 0), (0, 4), (2, 4)], [(4, 2), (2, 2), (2, 4)]])
+    kind, ring = kernels.outline(line, 1e-9)
+    assert kind == "Polygon" and kernels.area(ring) == 12
+    (line,) = kernels.merge_lines([[(0, 0), (4, 0)], [(4, 0), (4, 2)]])
+    assert kernels.outline(line, 1e-9)[0] == "LineString" and kernels.outline([(0, 0), (1, 1), (2, 2), (0, 0)], 1e-9) is None
     assert kernels.simplify([(0, 0), (1, 0.00001), (2, 0)], 0.000045) == [(0, 0), (2, 0)]
 
 

@@ -145,14 +145,10 @@ def merge_lines(ways: list[Line]) -> list[Line]:
     return merged
 
 
-def assemble(ways: list[Line], tolerance: float) -> tuple[list[Line], list[Line]]:
-    """Rings and open lines of a multipolygon's outer ways, simplified and rounded."""
-    rounded = lambda line: [(round(x, 7), round(y, 7)) for x, y in line]
-    rings, lines = [], []
-    for line in merge_lines([w for w in ways if len(w) > 1]):
-        if len(line) >= 4 and line[0] == line[-1]:
-            if area(line) > 0:
-                rings.append(rounded(simplify_ring(line, tolerance)))
-        elif line[0] != line[-1] or len(line) < 4:
-            lines.append(rounded(simplify(line, tolerance)))
-    return rings, lines
+def outline(line: Line, tolerance: float) -> tuple[str, Line] | None:
+    """A joined line as a shape, simplified and rounded: a ring, or an open line; None for a ring without an area."""
+    if len(line) >= 4 and line[0] == line[-1]:
+        kind, out = "Polygon", simplify_ring(line, tolerance) if area(line) > 0 else None
+    else:
+        kind, out = "LineString", simplify(line, tolerance)
+    return (kind, [(round(x, 7), round(y, 7)) for x, y in out]) if out else None

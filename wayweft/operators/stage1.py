@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .. import schema, tables
 from ..functions import geo, text
 from ..sources.osm import last_by_id, node_points
-from . import classify, kernels
+from . import classify, kernels, lines
 from .promote import numbered
 
 # Fixed values of the normalization.
@@ -188,26 +190,53 @@ def _records(line) -> list[dict]:
     return [{"lon": round(x, 7), "lat": round(y, 7)} for x, y in line]
 
 
-def relation_shapes(relations: DataFrame, ways: DataFrame, points: DataFrame) -> DataFrame:
+#: Relations with more points than this in their outer ways are joined across tasks, with the same results.
+TOGETHER = 100_000
+
+_SHAPE = StructType([StructField("geom_type", StringType()), StructField("pts", _POINTS)])
+
+
+@F.pandas_udf(StructType([StructField("lines", ArrayType(_POINTS))]))
+def _joined(groups: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    """The joined lines of ways whose points come one after another: arrays of arrays of unlike lengths do not cross over."""
+    made = []
+    for pts, lengths in zip(groups, sizes):
+        todo = iter(_pairs(pts))
+        made.append([[{"lon": x, "lat": y} for x, y in line] for line in kernels.merge_lines([list(islice(todo, n)) for n in lengths])])
+    return pd.DataFrame({"lines": made})
+
+
+@F.pandas_udf(_SHAPE)
+def _outline(lines: pd.Series) -> pd.DataFrame:
+    found = [kernels.outline(_pairs(line), TOLERANCE_DEG) or (None, []) for line in lines]
+    return pd.DataFrame({"geom_type": [kind for kind, _ in found], "pts": [[{"lon": x, "lat": y} for x, y in line] for _, line in found]})
+
+
+def outlines(outer: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """outer(id, m_at, pts): id, n, geom_type and pts of the rings and open lines that the ways of an id make."""
+    outer = tables.materialise(outer, "outer-ways")
+    sizes = tables.materialise(outer.groupBy("id").agg((F.sum(F.size("pts")) > together).alias("long")), "outer-sizes")
+    short = outer.join(sizes.where("not long"), "id", "left_semi").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m_at", "pts"))), lambda s: s["pts"]).alias("ways"))
+    made = short.select("id", F.posexplode(_joined(F.flatten("ways"), F.transform("ways", lambda w: F.size(w)))["lines"]).alias("n", "line"))
+    if not sizes.where("long").isEmpty():
+        apart = lines.merged_lines(outer.join(sizes.where("long"), "id", "left_semi").select(F.col("id").alias("key"), F.col("m_at").alias("at"), "pts"))
+        made = made.union(apart.select(F.col("key").alias("id"), "n", F.col("pts").alias("line")))
+    return made.select("id", "n", _outline("line").alias("made")).where("made.geom_type is not null").select("id", "n", "made.*")
+
+
+def relation_shapes(relations: DataFrame, ways: DataFrame, points: DataFrame, together: int = TOGETHER) -> DataFrame:
     """relations(id, kind, name, members): osm_id, kind, name, geom_type and pts of their rings, else shores, else hull."""
     steps = relations.select("id", F.posexplode("members").alias("m_at", "m")).select("id", "m_at", F.col("m.ref").alias("way"), F.col("m.role").alias("role"))
-    lines = steps.join(ways.select(F.col("id").alias("way"), "pts"), "way")
-    outer = lines.where("role <> 'inner' and size(pts) >= 2").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m_at", "pts"))), lambda s: s["pts"]).alias("ways"))
-    made = StructType([StructField("rings", ArrayType(_POINTS)), StructField("lines", ArrayType(_POINTS))])
-
-    @F.pandas_udf(made)
-    def assembled(groups: pd.Series) -> pd.DataFrame:
-        found = [kernels.assemble([_pairs(w) for w in ways], TOLERANCE_DEG) if ways is not None else ([], []) for ways in groups]
-        return pd.DataFrame({"rings": [[_records(r) for r in rings] for rings, _ in found], "lines": [[_records(x) for x in lines] for _, lines in found]})
-
-    rows = relations.join(outer, "id", "left").withColumn("made", assembled("ways"))
-    part = lambda array, sign: rows.select("id", "kind", "name", "made", F.posexplode(array).alias("k", "pts")).withColumn("osm_id", F.concat(F.lit("r"), "id", F.lit(f"-{sign}"), "k"))
-    columns = ["osm_id", "kind", "name", "geom_type", "pts"]
-    rings = part(F.col("made.rings"), "").withColumn("geom_type", F.lit("Polygon")).select(columns)
-    shores = part(F.when(F.size("made.rings") == 0, F.col("made.lines")), "L").withColumn("geom_type", F.lit("LineString")).select(columns)
-    none = rows.where((F.size("made.rings") == 0) & (F.size("made.lines") == 0)).join(hulls(lines.select("id", "pts"), "id"), "id")
-    none = none.withColumn("osm_id", F.concat(F.lit("r"), "id")).withColumn("geom_type", F.lit("Polygon")).select(columns)
-    return rings.union(shores).union(none)
+    parts = steps.join(ways.select(F.col("id").alias("way"), "pts"), "way")
+    made = tables.materialise(outlines(parts.where("role <> 'inner' and size(pts) >= 2").select("id", "m_at", "pts"), together), "outlines")
+    ring = F.col("geom_type") == "Polygon"
+    own = Window.partitionBy("id")
+    made = made.withColumn("ringed", F.max(ring).over(own)).withColumn("k", F.row_number().over(Window.partitionBy("id", "geom_type").orderBy("n")) - 1)
+    named = relations.select("id", "kind", "name")
+    osm_id = F.concat(F.lit("r"), "id", F.when(ring, "-").otherwise("-L"), "k")
+    shapes = made.where(ring | ~F.col("ringed")).join(named, "id").select(osm_id.alias("osm_id"), "kind", "name", "geom_type", "pts")
+    none = hulls(parts.join(made.select("id"), "id", "left_anti").select("id", "pts"), "id").join(named, "id")
+    return shapes.union(none.select(F.concat(F.lit("r"), "id").alias("osm_id"), "kind", "name", F.lit("Polygon").alias("geom_type"), "pts"))
 
 
 _POI = ["osm_id", "name", "category", "importance", "tier", "salience", "tags", "lon", "lat"]
