@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import options, tables
 from ..functions import geo, text
-from ..operators import chunks, graph, labels, stage1, view
+from ..operators import chunks, graph, labels, render, stage1, view
+from ..operators.promote import numbered
 from ..options import Options
 from ..sources import geojson, osm, writers
-from . import extract, model, normalize, oracles, synthetic
+from . import document_oracles, extract, model, normalize, oracles, synthetic
 from .oracles import needs
 from .queries import _both, _edges, _model, _promoted, _ways, query
 
@@ -245,3 +246,19 @@ def token_chunks(spark, d):
     """The chunk that a view opens for each feature."""
     parts = model.partition(_model(spark, d), Options(chunking=True, scene_size=8))
     return view.chunk_of_token(parts.chunks)
+
+
+@query(f"select cast(row_number() over (order by section, ord, i) as bigint) as line, text from (select section, ord, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as text from (select section, ord, string_split(text[:-2], chr(10)) as ls from ({document_oracles.DOCUMENT})))")
+def document_parts(spark, d):
+    """The whole document written by many tasks and read again in its order."""
+    path = tables.folder(spark, "document")
+    writers.write_text(render.document(_model(spark, d), Options()), path, rows_a_part=200)
+    return numbered(writers.read_text(spark, path), [F.asc("part"), F.asc("at")], "line").select("line", "text")
+
+
+@query(f"select slug, markdown from ({document_oracles.SCENES})")
+def chunk_files(spark, d):
+    """Every chunk's document written to a file of its own and read again."""
+    path = tables.folder(spark, "chunks")
+    writers.chunk_folders(model.scene_chunks(_model(spark, d), Options(chunking=True)), path)
+    return writers.read_chunks(spark, path)
