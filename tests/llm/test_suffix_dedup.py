@@ -113,3 +113,23 @@ def test_the_given_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in registry.QUERIES["op11_suffix_dedup"](spark, d).collect()) == sorted(brute(rows, 400))
+
+
+def test_passages_do_not_hang_on_the_order_of_rows(monkeypatch):
+    """A block's rows come in another order each time they are shuffled; its steps then end elsewhere."""
+    r = random.Random(5)
+    texts = [bytes(r.choices(b"abcdefgh \n", k=r.choice([0, 30, 99, 100, 101, 700, 3000]))) for _ in range(40)]
+    texts += [b"", b"a" * 900, texts[7], b"ab" * 300]
+    monkeypatch.setattr(S, "STEP", 257)
+
+    def passages(some):
+        block = S.Block(some)
+        again = np.unique(block.runs(100)[3])
+        return Counter((route, at, passage) for route, _, at, passage in S._candidates(block, 100, again))
+
+    want = passages(texts)
+    for _ in range(5):
+        r.shuffle(texts)
+        assert passages(texts) == want
+    monkeypatch.setattr(S, "STEP", 1 << 18)
+    assert passages(texts) == want and sum(want.values()) > 300
