@@ -1,11 +1,13 @@
 import random
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as C
-from wayweft.llm import scratch, secret_scan
+from wayweft.llm import packing, scratch, secret_scan
 from wayweft.llm import near_dedup as N
 
 
@@ -103,3 +105,21 @@ def test_every_stage_judges_rows(spark, tmp_path):
     assert len(seen[3]) == len(seen[2]) and not any("abcdefabcdef" in r.text for r in docs.collect())
     packed = C.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} and sum(r.piece == 0 for r in packed) == docs.count()
+
+
+def test_workers_let_go_of_what_other_stages_keep(spark, small):
+    """A word's sums and a chunk's ids are kept from task to task of their own stage alone, without waiting for Python's
+    collection of cycles: the stages run in the same workers, and what each left there added up."""
+    docs = spark.read.parquet(f"{small[0]}/documents.parquet").repartition(8)
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(type(x).__name__ in ("Scorer", "Model", "WordTokens") for x in gc.get_objects())], pa.int64())})
+
+    count = lambda: [r.n for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()]
+    assert C.language(spark, docs, small[0]).count()
+    assert sum(count()) == 0
+    assert packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).count()
+    assert sum(count()) == 0

@@ -42,7 +42,7 @@ SAMPLE, ROUNDS = 400, 3
 LANGUAGES = 1000
 #: Sums a worker remembers, one for each word and language, before it starts afresh; words longer than LONG are not
 #: remembered. Words whose sums are taken at once, times languages.
-CACHE_SUMS, LONG, AT_ONCE = 3_200_000, 200, 80_000
+CACHE_SUMS, LONG, AT_ONCE = 1_200_000, 200, 80_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -238,7 +238,8 @@ def train(labelled: DataFrame, vocab_path: str, sample: int = SAMPLE, rounds: in
 
 
 class Scorer:
-    """A worker process's own, kept from task to task beside its copy of the model: the words scored so far."""
+    """A worker process's own, kept from task to task with its copy of the model: the words scored so far. The model
+    does not hold it, so both go at once, without waiting for a collection of cycles."""
 
     def __init__(self, model: Model | None):
         self.model, self.rows, self.table = model, {}, np.zeros((1024, len(model.languages) if model else 0))
@@ -278,20 +279,11 @@ class Scorer:
         return names, scores, list(map(len, found))
 
 
-def _scorer(shared) -> Scorer:
-    model = shared.value
-    if model is None:
-        return Scorer(None)
-    if not hasattr(model, "scorer"):
-        model.scorer = Scorer(model)
-    return model.scorer
-
-
 _OUT = "doc_id long, lang_pred string, score double, n_words long"
 
 
 def _shared(docs: DataFrame, model: Model | None):
-    return docs.sparkSession.sparkContext.broadcast(model)  # at most a few MB for a language: the vocabulary's probabilities
+    return frames.kept(docs.sparkSession, Scorer, model)  # at most a few MB for a language: the vocabulary's probabilities
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -299,7 +291,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = _shared(docs, model)
 
     def run(batches):
-        scorer = _scorer(shared)
+        scorer = shared.value.get()
         for batch in frames.parts(batches):
             names, scores, sizes = scorer.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
@@ -312,7 +304,7 @@ def clear(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     shared = _shared(docs, model)
 
     def run(batches):
-        scorer = _scorer(shared)
+        scorer = shared.value.get()
         for batch in frames.parts(batches):
             names, scores, _ = scorer.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))

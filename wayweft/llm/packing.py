@@ -168,13 +168,13 @@ def evolve(lengths: list[int], capacity: int, seed: int, generations: int = GENE
     return found
 
 
-def _encode(path: str, capacity: int):
+def _encode(shared, capacity: int):
     schema = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        tokens = word_tokens.shared(path)
+        tokens = shared.value.get()
         for batch in frames.parts(batches):
             rows = []
             names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
@@ -195,7 +195,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each document by the vocabulary in path, with the closing id at its end."""
-    return frames.documents(docs).mapInArrow(_encode(path, capacity), PIECES)
+    return frames.documents(docs).mapInArrow(_encode(frames.kept(docs.sparkSession, word_tokens.WordTokens, path), capacity), PIECES)
 
 
 def _solution(table: pd.DataFrame, found: Island, capacity: int, problem: int, island: int) -> pd.DataFrame:

@@ -11,7 +11,6 @@ marks) are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -226,9 +225,3 @@ class WordTokens:
         """The ids of each text."""
         ids, bounds = self.encode([t.encode() for t in texts])
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-
-
-@functools.lru_cache(maxsize=2)
-def shared(path: str) -> WordTokens:
-    """The worker process's own, kept from task to task."""
-    return WordTokens(path)
