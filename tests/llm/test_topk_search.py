@@ -83,3 +83,20 @@ def test_components_beyond_any_range(spark):
     whole = {i: [int(math.floor(256 * x)) for x in v] for i, v in rows if math.isfinite(256 * v[0])}
     best = sorted((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i)[:5]
     assert got == [(0, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+
+
+def test_memory_does_not_grow_with_a_blocks_queries():
+    """A block's bounds are held for some of its queries at once: 2048 queries of 16384 vectors would take 268 MB a matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    vectors, asked = np.floor(rng.normal(size=(16384, 8)) * 256), np.floor(rng.normal(size=(2048, 8)) * 256)
+    tracemalloc.start()
+    got = T.search(vectors, np.arange(16384), asked, np.arange(2048) + 50_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    scores = asked @ vectors.T
+    for q in range(0, 2048, 97):
+        order = sorted(range(16384), key=lambda i: (-scores[q, i], i))[:5]
+        assert [(i, s) for query, i, s in got[q * 5 : q * 5 + 5]] == [(i, int(scores[q, i])) for i in order]

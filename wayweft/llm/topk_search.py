@@ -1,8 +1,9 @@
 """Exact top-k inner-product search by no-random-access aggregation over sorted lists.
 
 Candidates are dealt to shards by their norms, the longest first, and queries to blocks; both are as large as memory
-allows. In a shard every dimension is a list of its vectors sorted by value, read from the top where a query's component
-is positive and from the bottom where it is negative. All lists are read to the same depth, sequentially, in a few
+allows; a block's queries take turns, so that the bounds of a turn are few however many there are. In a shard every
+dimension is a list of its vectors sorted by value, read from the top where a query's component is positive and from the
+bottom where it is negative. All lists are read to the same depth, sequentially, in a few
 steps; each step adds what it has newly read. A candidate's lower bound adds to what has been read the least that unread
 lists can still give (the list's last value), the upper bound the most (the value read last). A query ends when no
 outsider's upper bound reaches the k-th lower bound; the remaining candidates' scores are then resolved. The steps of
@@ -34,7 +35,9 @@ from . import frames, scratch
 K, SCALE = 5, 256
 #: Components of a shard's vectors and of a block's queries, vectors of the pilot shard, and the shares of each list read
 #: in turn.
-SHARD, BLOCK, PILOT, DEPTHS = 1 << 20, 1 << 18, 1024, (0.25, 0.5, 0.75)
+SHARD, BLOCK, PILOT, DEPTHS = 1 << 20, 1 << 20, 1024, (0.25, 0.5, 0.75)
+#: Bounds that are held at once: a block's queries are searched in turns of so many queries times vectors.
+BOUNDS = 1 << 21
 
 
 class SortedLists:
@@ -81,16 +84,35 @@ class Reader:
 def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int = K, floors: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(query id, candidate id, score) of each query's k best; floors: scores that the k-th result reaches at least."""
     out: list[tuple[int, int, int]] = []
-    n = len(vectors)
     # by powers of two into the middle of the range of doubles: nothing overflows, and no digit is lost
     scale = [2.0 ** -int(np.frexp(np.abs(x).max(initial=1))[1]) for x in (vectors, queries)]
     lists = SortedLists(vectors * scale[0])
-    scaled = queries * scale[1]
-    slack = 1e-12 * (vectors.shape[1] + 4) * np.abs(scaled).sum(axis=1)  # more than sums of doubles can be off
-    least = np.full(len(queries), -np.inf) if floors is None else floors * scale[0] * scale[1] - slack
-    live = np.arange(len(queries))
-    survivors = query_ids[:, None] != ids[None, :]
-    own = ~survivors
+    largest = np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1]
+    integers = (lambda x: x.astype(np.int64)) if largest < 2.0**62 else np.frompyfunc(int, 1, 1)
+    whole = integers(vectors)
+    step = max(1, BOUNDS // max(1, len(vectors)))
+    for at in range(0, len(queries), step):
+        some, some_ids = queries[at : at + step], query_ids[at : at + step]
+        scaled = some * scale[1]
+        slack = 1e-12 * (vectors.shape[1] + 4) * np.abs(scaled).sum(axis=1)  # more than sums of doubles can be off
+        least = np.full(len(some), -np.inf) if floors is None else floors[at : at + step] * scale[0] * scale[1] - slack
+        survivors = _survivors(lists, scaled, some_ids[:, None] == ids[None, :], least, slack, k)
+        for q, (query_id, query) in enumerate(zip(some_ids, integers(some))):
+            rest = np.flatnonzero(survivors[q])
+            scores = whole[rest] @ query
+            if len(rest) > 4 * k and whole.dtype == np.int64:  # ties with the k-th stay for the order by id
+                near = scores >= -np.partition(-scores, k - 1)[k - 1]
+                rest, scores = rest[near], scores[near]
+            best = sorted(zip((-s for s in scores.tolist()), ids[rest].tolist()))[:k]
+            out += [(int(query_id), i, -s) for s, i in best]
+    return out
+
+
+def _survivors(lists: SortedLists, scaled: np.ndarray, own: np.ndarray, least: np.ndarray, slack: np.ndarray, k: int) -> np.ndarray:
+    """Of each query (row) the candidates that can be among its k best, once the lists have been read as far as needed."""
+    n = len(lists.vectors)
+    live = np.arange(len(scaled))
+    survivors = ~own
     reader = Reader(lists, scaled)
     for share in DEPTHS:
         lower, upper = reader.to(max(1, int(n * share)), live)
@@ -102,18 +124,7 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
         live = live[survivors[live].sum(axis=1) > 4 * k]
         if not len(live):
             break
-    largest = np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1]
-    integers = (lambda x: x.astype(np.int64)) if largest < 2.0**62 else np.frompyfunc(int, 1, 1)
-    whole, queries = integers(vectors), integers(queries)
-    for q in range(len(queries)):
-        rest = np.flatnonzero(survivors[q])
-        scores = whole[rest] @ queries[q]
-        if len(rest) > 4 * k and whole.dtype == np.int64:  # ties with the k-th stay for the order by id
-            near = scores >= -np.partition(-scores, k - 1)[k - 1]
-            rest, scores = rest[near], scores[near]
-        best = sorted(zip((-s for s in scores.tolist()), ids[rest].tolist()))[:k]
-        out += [(int(query_ids[q]), i, -s) for s, i in best]
-    return out
+    return survivors
 
 
 _SCORE = "decimal(38,0)"
